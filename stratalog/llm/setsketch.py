@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,16 +60,37 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def shingles_of(units: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit shingle hashes of many units, ascending within each, and where each unit begins.
+
+    The words of all units are hashed as one array; fewer than five words are one shingle.
+    """
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(units)), U, int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    full = np.maximum(sizes - SHINGLE + 1, 0)
+    owner = np.repeat(np.arange(len(units)), full)
+    at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(full) - full), full)
+    x = np.full(len(owner), SHINGLE, U)
+    for j in range(SHINGLE):
+        x = mixed(x ^ w[at + j])
+    short = np.nonzero((sizes > 0) & (sizes < SHINGLE))[0]
+    if len(short):
+        y = sizes[short].astype(U)
+        for j in range(SHINGLE - 1):
+            more = sizes[short] > j
+            y[more] = mixed(y[more] ^ w[begins[short][more] + j])
+        x, owner = np.concatenate([x, y]), np.concatenate([owner, short])
+    order = np.lexsort((x, owner))
+    x, owner = x[order], owner[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
+    x, owner = x[new], owner[new]
+    return x, np.searchsorted(owner, np.arange(len(units) + 1))
+
+
 def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Distinct 64-bit shingle hashes, ascending; fewer than five words are one shingle."""
-    if not words:
-        return np.empty(0, U)
-    w = np.fromiter(map(hashes.__getitem__, words), U, len(words))
-    n = min(SHINGLE, len(w))
-    x = np.full(len(w) - n + 1, n, U)
-    for j in range(n):
-        x = mixed(x ^ w[j : len(w) - n + 1 + j])
-    return np.unique(x)
+    return shingles_of([words], hashes)[0]
 
 
 @dataclass(frozen=True)
@@ -88,18 +110,21 @@ class Sketcher:
         r = np.random.default_rng(self.seed)
         return r.integers(0, 1 << 32, self.m, np.uint32), r.integers(0, 1 << 32, self.m, np.uint32) | np.uint32(1)
 
-    def registers(self, sets: np.ndarray) -> np.ndarray:
-        """Registers of a set of 64-bit hashes (zeros for the empty one)."""
-        if not len(sets):
-            return np.zeros(self.m, np.uint16)
+    def registers(self, sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Registers of many sets of 64-bit hashes, a row each (zeros for an empty one)."""
         flip, times = self._cached()
-        x, least = (sets >> U(32)).astype(np.uint32), np.full(self.m, 0xFFFFFFFF, np.uint32)
+        least = np.full((len(bounds) - 1, self.m), 0xFFFFFFFF, np.uint32)
+        x = (sets >> U(32)).astype(np.uint32)
         for i in range(0, len(x), 1024):
             part = x[i : i + 1024, None] ^ flip
             part *= times
-            np.minimum(least, part.min(axis=0), out=least)
+            first, last = np.searchsorted(bounds, i, "right") - 1, np.searchsorted(bounds, i + len(part), "left")
+            own = np.arange(first, last)[np.diff(bounds[first : last + 1]) > 0]
+            least[own] = np.minimum(least[own], np.minimum.reduceat(part, np.maximum(bounds[own] - i, 0), axis=0))
         value = -np.log1p(-(least.astype(np.float64) + 0.5) / 2**32) / self.rate
-        return np.clip(np.floor(1 - np.log(value) / math.log(self.base)), 0, self.limit + 1).astype(np.uint16)
+        out = np.clip(np.floor(1 - np.log(value) / math.log(self.base)), 0, self.limit + 1).astype(np.uint16)
+        out[np.diff(bounds) == 0] = 0
+        return out
 
     def _cached(self) -> tuple[np.ndarray, np.ndarray]:
         if "_k" not in self.__dict__:
@@ -107,11 +132,11 @@ class Sketcher:
         return self.__dict__["_k"]
 
     def buckets(self, registers: np.ndarray) -> np.ndarray:
-        """A 64-bit name for each band's values."""
-        r = registers.reshape(self.bands, self.rows).astype(U)
-        x = mixed(np.arange(self.bands, dtype=U) + U(1))
+        """A 64-bit name for the values of each band, for rows of registers."""
+        r = registers.reshape(-1, self.bands, self.rows).astype(U)
+        x = np.broadcast_to(mixed(np.arange(self.bands, dtype=U) + U(1)), r.shape[:2])
         for j in range(self.rows):
-            x = mixed(x * U(0x9E3779B97F4A7C15) + r[:, j])
+            x = mixed(x * U(0x9E3779B97F4A7C15) + r[:, :, j])
         return x.view(np.int64)
 
 
@@ -146,21 +171,41 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
 
 
+def batched(batch: pa.RecordBatch, words: int = 60_000, rows: int = 512) -> Iterator[tuple[list, list[list[bytes]]]]:
+    """(uids, words of the texts) in parts of bounded size; a longer text is a part of its own."""
+    uids, units, n = [], [], 0
+    for uid, text in zip(batch["uid"].to_pylist(), batch["text"], strict=True):
+        uids.append(uid)
+        units.append(words_of(text.as_py()))
+        n += len(units[-1])
+        if n >= words or len(uids) >= rows:
+            yield uids, units
+            uids, units, n = [], [], 0
+    if uids:
+        yield uids, units
+
+
+def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Slices of an array as binary values."""
+    raw = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+
+
 def sketched(units: DataFrame, sketcher: Sketcher) -> DataFrame:
     """(uid, set_key, n, registers, buckets) of units (uid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                out: list[list] = [[] for _ in SKETCH]
-                for uid, text in zip(part["uid"].to_pylist(), part["text"], strict=True):
-                    s = shingles(words_of(text.as_py()), hashes)
-                    r = sketcher.registers(s)
-                    for column, x in zip(out, (uid, set_key(s), len(s), r.tobytes() if len(s) else b"", sketcher.buckets(r) if len(s) else []), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SKETCH, strict=True)], schema=SKETCH)
+            for uids, words in batched(batch):
+                x, bounds = shingles_of(words, hashes)
+                n = np.diff(bounds)
+                r = sketcher.registers(x, bounds)
+                some = n > 0
+                keys = [set_key(x[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                regs = binaries(r[some].ravel(), np.concatenate([[0], np.cumsum(some * sketcher.m)]))
+                buckets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * sketcher.bands)]), pa.int32()), pa.array(sketcher.buckets(r[some]).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), regs, buckets.cast(pa.list_(pa.int64()))], schema=SKETCH)
 
     return units.select("uid", "text").mapInArrow(run, "uid long, set_key binary, n long, registers binary, buckets array<long>")
 
@@ -171,10 +216,8 @@ def full_sets(units: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sets = [shingles(words_of(t.as_py()), hashes).tobytes() for t in part["text"]]
-                yield pa.RecordBatch.from_arrays([part["uid"].cast(pa.int64()), pa.array(sets, pa.binary())], schema=SETS)
+            for uids, words in batched(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), binaries(*shingles_of(words, hashes))], schema=SETS)
 
     return units.select("uid", "text").mapInArrow(run, "uid long, shingles binary")
 
@@ -286,4 +329,4 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     kept = join_groups(docs, gone, ["doc_id"], "left_anti")
     if not twice.isEmpty():
         kept = join_groups(kept, twice, ["doc_id"], "left_anti").unionByName(join_groups(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

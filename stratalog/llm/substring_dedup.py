@@ -4,9 +4,9 @@ Paragraphs are lines of at least ``MIN_LINE`` words.  Their shingle sets go thro
 ``setsketch`` (20 bands of 4: a pair at similarity 0.75 is missed with a chance of 5e-4), colliding paragraphs are
 confirmed by exact Jaccard similarity, and components of confirmed links are clusters.
 
-A passage can also repeat inside long lines that differ around it.  So lines of over ``LONG`` words are also
-cut where a word's hash is the least among its neighbours; the cuts move with the text, and pieces of at least
-``MIN_PIECE`` words that are equal in several documents are clusters as well.
+A passage can also repeat inside long lines that differ around it, or over several short ones.  So whole texts
+are also cut where a word's hash is the least among its neighbours; the cuts move with the text, and pieces of
+at least ``MIN_PIECE`` words that are equal in several documents are clusters as well.
 
 Only clusters that reach over two documents or more count.  The first occurrence (least doc_id, then place)
 stays, all others are removals.  Places count words of the whole text.
@@ -18,6 +18,7 @@ out; repeated rows are one document; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, saved
-from .setsketch import Sketcher, U, WordHashes, grouped, mixed
+from .common import join_groups, saved, word_array
+from .setsketch import Sketcher, U, WordHashes, batched, grouped, mixed
 
-MIN_LINE, LONG, MIN_PIECE, REACH = 25, 50, 12, 8
+MIN_LINE, MIN_PIECE, REACH = 25, 10, 6
 SKETCHER = Sketcher(bands=20, rows=4)
 
-PARTS = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("kind", pa.string()), ("uid", pa.int64()), ("text", pa.string())])
+PIECES = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("uid", pa.int64())])
 
 
 def sequence_keys(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -51,51 +52,44 @@ def own_cuts(w: np.ndarray) -> np.ndarray:
     return np.nonzero((near <= middle[:, None]).sum(axis=1) == 1)[0] + REACH
 
 
-def parts(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = ("line", "piece")) -> DataFrame:
-    """Lines (with text) and pieces of lines, named by 64-bit hashes of their lower-case words."""
+def lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, line, n_words, uid, text) of lines of at least ``MIN_LINE`` words; uid: hash of the lower-case words."""
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.col(text), "\n", -1)).alias("line", "text"))
+    words = split.where("doc_id is not null and text is not null").select("*", word_array(F.col("text")).alias("w"))
+    return words.where(F.size("w") >= MIN_LINE).select("doc_id", "line", F.size("w").cast("long").alias("n_words"), F.xxhash64(F.lower(F.array_join("w", " "))).alias("uid"), "text")
+
+
+def pieces(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, first_word, n_words, uid): pieces of whole texts between places that depend on near words only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 128):
-                out: list[list] = [[] for _ in PARTS]
-                b = batch.slice(i, 128)
-                for doc_id, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                    place = 0
-                    for line in (t.as_py() or "").split("\n"):
-                        words = line.encode().lower().split()
-                        n = len(words)
-                        if n >= MIN_LINE:
-                            w = np.fromiter(map(hashes.__getitem__, words), U, n)
-                            if "line" in kinds:
-                                rows = [(place, n, "line", int(sequence_keys(w, np.array([0, n]))[0]), line)]
-                            else:
-                                rows = []
-                            cuts = own_cuts(w) if n > LONG and "piece" in kinds else ()
-                            if len(cuts) > 1:
-                                keys, sizes = sequence_keys(w, cuts), np.diff(cuts)
-                                rows += [(place + int(c), int(s), "piece", int(k), None) for c, s, k in zip(cuts, sizes, keys, strict=False) if s >= MIN_PIECE]
-                            for r in rows:
-                                for column, x in zip(out, (doc_id, *r), strict=True):
-                                    column.append(x)
-                        place += n
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, PARTS, strict=True)], schema=PARTS)
-
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return given.mapInArrow(run, "doc_id long, first_word long, n_words long, kind string, uid long, text string")
+            for doc_ids, units in batched(batch):
+                sizes = np.fromiter(map(len, units), np.int64, len(units))
+                w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(units)), U, int(sizes.sum()))
+                cuts = own_cuts(w)
+                if len(cuts) < 2:
+                    continue
+                begins = np.cumsum(sizes) - sizes
+                keys, lengths, owner = sequence_keys(w, cuts), np.diff(cuts), np.searchsorted(begins, cuts, "right") - 1
+                keep = (lengths >= MIN_PIECE) & (owner[1:] == owner[:-1])
+                # near a text's ends the neighbours are another text's, which only moves cuts there
+                own, ids = owner[:-1][keep], np.array(doc_ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[own], cuts[:-1][keep] - begins[own], lengths[keep], keys[keep])], schema=PIECES)
+
+    given = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col(text).alias("text")).where("uid is not null and text is not null")
+    return given.mapInArrow(run, "doc_id long, first_word long, n_words long, uid long")
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, first_word, n_words, kind, cluster, kept_doc_id, removed): each part of a cluster, one row each."""
-    units = parts(docs, text, ("line",)).select("uid", "text")
-    groups = grouped(units, SKETCHER)
-    labels = groups.labelled().groupBy("uid").agg(F.min("component").alias("cluster"))
-    places = saved(parts(docs, text).drop("text").distinct(), "parts")
-    lines = places.where("kind = 'line'").join(labels, "uid").drop("uid")
-    pieces = places.where("kind = 'piece'").withColumnRenamed("uid", "cluster")
-    every = saved(lines.select("doc_id", "first_word", "n_words", "kind", "cluster").unionAll(pieces.select("doc_id", "first_word", "n_words", "kind", "cluster")), "clusters")
-    many = every.groupBy("kind", "cluster").agg(F.min(F.struct("doc_id", "first_word")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    """(doc_id, kind, place, n_words, cluster, kept_doc_id, removed): each part of a cluster, one row each."""
+    units = lines(docs, text)
+    labels = grouped(units.select("uid", "text"), SKETCHER).labelled().groupBy("uid").agg(F.min("component").alias("cluster"))
+    long_lines = units.select("doc_id", F.col("line").cast("long").alias("place"), "n_words", F.lit("line").alias("kind"), "uid").join(labels, "uid").select("doc_id", "place", "n_words", "kind", "cluster")
+    cut = pieces(docs, text).select("doc_id", F.col("first_word").alias("place"), "n_words", F.lit("piece").alias("kind"), F.col("uid").alias("cluster"))
+    every = saved(long_lines.unionAll(cut), "clusters")
+    many = every.groupBy("kind", "cluster").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     shared = saved(many.select("kind", "cluster", "first"), "shared")
     out = join_groups(every, shared, ["kind", "cluster"], "inner")
-    return out.select("doc_id", "first_word", "n_words", "kind", "cluster", F.col("first.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "first_word") != F.col("first")).alias("removed"))
+    return out.select("doc_id", "kind", "place", "n_words", "cluster", F.col("first.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "place") != F.col("first")).alias("removed"))
