@@ -5,8 +5,8 @@ distributed hash values, truncated to 0..q+1.  Registers of a union are the maxi
 (``merge``), and equal registers become likelier with the Jaccard similarity.  Then:
 
 1. Equal sets become one class each, by a 128-bit hash of the set.
-2. Registers are banded; a band's values name a bucket.  In each bucket the least class is the hub, and
-   (hub, member) pairs are candidates.
+2. Registers are banded; a band's values name a bucket.  In each bucket the class that shares most
+   buckets is the hub, and (hub, member) pairs are candidates.
 3. From the registers of a pair and the exact set sizes, the similarity is estimated by joint likelihood; pairs
    far below the threshold go.  The others are confirmed on their full sets.
 4. Confirmed links give components.  In buckets with several components left, every pair between two components
@@ -284,9 +284,14 @@ def grouped(units: DataFrame, sketcher: Sketcher, percent: int = 75, slack: floa
     drop_saved(every)
     least = percent / 100 - slack
     in_bucket = classes.select("uid", F.explode("buckets").alias("bucket"))
-    shared = saved(in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("uid").alias("hub")).where("members > 1"), "buckets")
-    members = saved(join_groups(in_bucket, shared.select("bucket", "hub"), ["bucket"], "inner"), "members")
-    stars = saved(_estimated(members.where("uid <> hub").select(F.col("hub").alias("u"), F.col("uid").alias("v")).distinct(), classes, sketcher, least), "pairs")
+    shared = saved(in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
+    shares = saved(join_groups(in_bucket, shared, ["bucket"], "inner"), "shares")
+    # the hub of a bucket is the member that shares most: what a group of near copies was copied from
+    central = shares.groupBy("uid").agg(F.sum("members").alias("score"))
+    hubs = shares.join(central, "uid").groupBy("bucket").agg(F.max_by("uid", F.struct("score", -F.col("uid"))).alias("hub"))
+    members = saved(shares.select("bucket", "uid").join(hubs, "bucket"), "members")
+    drop_saved(shares)
+    stars = saved(_estimated(members.where("uid <> hub").select(F.least("hub", "uid").alias("u"), F.greatest("hub", "uid").alias("v")).distinct(), classes, sketcher, least), "pairs")
     links = _confirmed(stars, units, percent)
     labels = saved(components(links), "labels")
     # buckets that still hold several components: their pairs between components
