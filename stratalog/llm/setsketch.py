@@ -10,8 +10,10 @@ distributed hash values, truncated to 0..q+1.  Registers of a union are the maxi
 3. From the registers of a pair and the exact set sizes, the similarity is estimated by joint likelihood; pairs
    far below the threshold go.  The others are confirmed on their full sets.
 4. Confirmed links give components.  In buckets with several components left, every pair between two components
-   that wasn't compared yet is a candidate too, and is confirmed likewise.  So no link that shares a bucket
-   is lost, while a group of thousands of near copies costs as many comparisons as it has members.
+   that wasn't compared yet is a candidate too, and is confirmed likewise; unless a set has too many shingles
+   found in no other set there for the pair to reach the threshold, which is an exact bound.  So no link that
+   shares a bucket is lost, and a group of thousands of near copies costs about as many comparisons as it has
+   members, for copies with too many changes of their own drop out by that bound.
 
 With 44 bands of 5 registers a pair at similarity 0.75 shares no bucket with a chance of 7e-6.
 """
@@ -261,6 +263,26 @@ def _confirmed(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _common(units: DataFrame, classes: DataFrame, rest: DataFrame) -> DataFrame:
+    """(uid, n, common): how many shingles of each class in a table occur in another class of it too.
+
+    No intersection with a class of the table can be larger than that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for uids, words in batched(batch):
+                x, bounds = shingles_of(words, hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(uids, np.int64), np.diff(bounds))), pa.array(x.view(np.int64))], names=["uid", "shingle"])
+
+    ends = saved(rest.select("uid").distinct(), "ends")
+    rows = join_groups(units, ends, ["uid"], "inner").dropDuplicates(["uid"]).select("uid", "text").mapInArrow(run, "uid long, shingle long")
+    owned = rows.groupBy("shingle").agg(F.min("uid").alias("uid"), F.max("uid").alias("last")).where("uid = last")
+    own = owned.groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
+    return ends.join(classes.select("uid", "n"), "uid").join(own, "uid", "left").select("uid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 @dataclass
 class Groups:
     """``units``: (uid, set_key, n) of each unit; ``classes``: (uid, set_key) of each set; ``labels``: (node, component) of linked classes."""
@@ -301,14 +323,18 @@ def grouped(units: DataFrame, sketcher: Sketcher, percent: int = 75, slack: floa
     rest = saved(placed.join(open_, "bucket", "left_semi").where("uid <> hub"), "open")
     counts = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    sides = rest.join(main, "bucket")
-    few = sides.where("component <> main").select("bucket", F.col("uid").alias("u"), F.col("component").alias("c"))
-    cross = sides.join(few, "bucket").where((F.col("component") != F.col("c")) & ((F.col("component") == F.col("main")) | (F.col("uid") < F.col("u"))))
+    bounds = saved(_common(units, classes, rest).where(100 * F.col("common") >= percent * F.col("n")), "bounds")
+    sides = rest.select("bucket", "uid", "component").join(main, "bucket").join(bounds, "uid")
+    few = sides.where("component <> main").select("bucket", F.col("uid").alias("u"), F.col("component").alias("c"), F.col("n").alias("n_u"), F.col("common").alias("common_u"))
+    # 100 * intersection >= percent * union bounds the intersection from below by the sizes
+    may = (100 + percent) * F.least("common", "common_u") >= percent * (F.col("n") + F.col("n_u"))
+    apart = (F.col("component") != F.col("c")) & ((F.col("component") == F.col("main")) | (F.col("uid") < F.col("u")))
+    cross = sides.join(few, "bucket").where(apart & may)
     found = cross.select(F.least("u", "uid").alias("u"), F.greatest("u", "uid").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     more = saved(_estimated(found, classes, sketcher, least), "pairs")
     links2 = _confirmed(more, units, percent)
     final = saved(components(links.unionAll(links2)), "labels")
-    drop_saved(shared, members, stars, labels, placed, rest, more)
+    drop_saved(shared, members, stars, labels, placed, rest, bounds, more)
     return Groups(narrow, classes.select("uid", "set_key"), final)
 
 
