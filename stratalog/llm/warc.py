@@ -34,7 +34,7 @@ SKIPPABLE = 0x184D2A5D
 FRAME = struct.pack("<I", zstandard.MAGIC_NUMBER)
 MIN_PAYLOAD = 100
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 500, 1 << 15, 1 << 16
-FILE_BYTES = 32 << 20
+FILE_BYTES, STEP = 16 << 20, 1 << 13
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -111,12 +111,15 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         options, at = {"dict_data": zstandard.ZstdCompressionDict(kept)}, 8 + size
     reader = zstandard.ZstdDecompressor(**options)
     while at < len(data):
-        one = reader.decompressobj()
-        record = one.decompress(view[at:])
-        if not one.eof:
-            raise ValueError("frame cut short")
-        at = len(data) - len(one.unused_data)
-        yield parse_record(record)
+        one, pieces = reader.decompressobj(), []
+        while not one.eof:  # in small steps: what follows the frame is copied each time
+            if at >= len(data):
+                raise ValueError("frame cut short")
+            step = view[at : at + STEP]
+            pieces.append(one.decompress(step))
+            at += len(step)
+        at -= len(one.unused_data)
+        yield parse_record(b"".join(pieces))
 
 
 def planned(pages: DataFrame) -> DataFrame:
