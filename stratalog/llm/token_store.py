@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -48,7 +49,7 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts, through a cache of words that is emptied when full."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,6 +65,12 @@ class Encoder:
         return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, x)), np.uint32) for x in words]
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a worker, so that its known words are of use to the next task."""
+    return Encoder(path)
+
+
 def file_of(ids: list[np.ndarray], names: list[int | None]) -> bytes:
     """A file from the ids (with end ids) and the doc_ids of its documents."""
     every = np.concatenate(ids) if ids else np.empty(0, np.uint32)
@@ -96,7 +103,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text
     """Write the files; returns (file, docs, tokens, bytes) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, names, end = Encoder(tokenizer), [], [], np.array([end_id], np.uint32)
+        encoder, ids, names, end = encoder_of(tokenizer), [], [], np.array([end_id], np.uint32)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
