@@ -79,11 +79,14 @@ def _window_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
 def index(items: DataFrame) -> DataFrame:
     """(item_id, ipos, h, n, slots): windows of the items, how many each item has, and the fillers by offset."""
     raw = items.select("item_id", tokens(F.col("text")).alias("raw"))
-    both = raw.select("item_id", "raw", canonical("raw").alias("canon")).unionAll(raw.select("item_id", "raw", canonical("raw", names=False).alias("canon")))
-    keep = ["item_id", "raw", "canon"]
-    rows = _window_rows(both.withColumn("copy", F.col("canon")).select("item_id", "raw", F.col("copy").alias("canon")).select(*keep), keep).select("item_id", F.col("pos").alias("ipos"), "h", (F.size("canon") - WINDOW + 1).alias("n"), *[F.slice(c, F.col("pos") + 1, WINDOW).alias(c) for c in ("raw", "canon")])
-    slot = F.filter(F.transform("canon", lambda x, i: F.when(x.isin("#", "%", "@"), F.struct(i.alias("off"), F.concat(x, F.lower(F.get(F.col("raw"), i))).alias("value")))), lambda s: s.isNotNull())
-    return rows.select("item_id", "ipos", "h", "n", slot.alias("slots")).where(F.size("slots") <= WINDOW - MIN_WORDS).distinct()
+    form = lambda names: raw.select("item_id", F.lit(names).alias("names"), "raw", canonical("raw", names).alias("canon"))
+    keep = ["item_id", "names", "raw", "canon"]
+    rows = _window_rows(form(True).unionAll(form(False)), keep).select("item_id", "names", F.col("pos").alias("ipos"), "h", *[F.slice(c, F.col("pos") + 1, WINDOW).alias(c) for c in ("raw", "canon")])
+    slot = F.filter(F.transform("canon", lambda x, i: F.when(x.isin("#", "%", "@"), F.struct(i.alias("off"), F.concat(x, F.lower(F.ltrim(F.get(F.col("raw"), i), F.lit(MARK)))).alias("value")))), lambda s: s.isNotNull())
+    kept = rows.select("item_id", "names", "ipos", "h", slot.alias("slots")).where(F.size("slots") <= WINDOW - MIN_WORDS)
+    # an item's windows as a template; as words only where no window of the template has enough of them
+    n = kept.groupBy("item_id").agg(F.count_distinct(F.when(F.col("names"), F.col("ipos"))).alias("t"), F.count_distinct("ipos").alias("w"))
+    return kept.drop("names").distinct().join(n.select("item_id", F.when(F.col("t") > 0, F.col("t")).otherwise(F.col("w")).alias("n")), "item_id").select("item_id", "ipos", "h", "n", "slots")
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
@@ -101,7 +104,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     wanted = saved(filled.select("key").distinct(), "bench-filled")
     some = join_groups(texts.select("key", "t"), wanted, ["key"], "inner").groupBy("key").agg(F.first("t").alias("t")).select("key", tokens(F.col("t")).alias("raw"))
     pairs = filled.join(some, "key").select("key", "item_id", "n", "ipos", "shift", F.explode_outer("slots").alias("slot"), "raw", "pos")
-    pairs = pairs.select("key", "item_id", "n", "ipos", "shift", F.col("slot.value").alias("value"), F.lower(F.get("raw", F.col("pos") + F.col("slot.off"))).alias("filler"))
+    pairs = pairs.select("key", "item_id", "n", "ipos", "shift", F.col("slot.value").alias("value"), F.lower(F.ltrim(F.get("raw", F.col("pos") + F.col("slot.off")), F.lit(MARK))).alias("filler"))
     sound = pairs.groupBy("key", "item_id", "shift").agg((F.count_distinct("value", "filler") == F.count_distinct("value")).alias("sound"), (F.sum(F.when(F.substr("value", F.lit(2)) != F.col("filler"), 1).otherwise(0)) > 0).cast("int").alias("reset"))
     refilled = filled.select("key", "item_id", "n", "ipos", "shift").join(sound.where("sound"), ["key", "item_id", "shift"]).select("key", "item_id", "n", "ipos", "reset")
     by_item = plain.unionAll(refilled).groupBy("key", "item_id", "n", "ipos").agg(F.min("reset").alias("reset"))
