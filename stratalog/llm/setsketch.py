@@ -13,7 +13,8 @@ distributed hash values, truncated to 0..q+1.  Registers of a union are the maxi
    that wasn't compared yet is a candidate too, and is confirmed likewise; unless a set has too many shingles
    found in no other set there for the pair to reach the threshold, which is an exact bound.  So no link that
    shares a bucket is lost, and a group of thousands of near copies costs about as many comparisons as it has
-   members, for copies with too many changes of their own drop out by that bound.
+   members, for copies with too many changes of their own drop out by that bound.  A bitmap of each set bounds the
+   intersection as well: shingles whose bits the other lacks can't be in it.
 
 With 44 bands of 5 registers a pair at similarity 0.75 shares no bucket with a chance of 7e-6.
 """
@@ -21,8 +22,10 @@ With 44 bands of 5 registers a pair at similarity 0.75 shares no bucket with a c
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -35,6 +38,8 @@ from .common import drop_saved, join_groups, saved
 from .components import components
 
 SHINGLE = 5
+#: 64-bit words of the bitmaps that bound intersections; sets of far more than 1,024 shingles get no help from them.
+BITMAP = 16
 U = np.uint64
 
 
@@ -263,10 +268,10 @@ def _confirmed(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _common(units: DataFrame, classes: DataFrame, rest: DataFrame) -> DataFrame:
-    """(uid, n, common): how many shingles of each class in a table occur in another class of it too.
+def _common(units: DataFrame, rest: DataFrame) -> DataFrame:
+    """(uid, n, common, bits): how many shingles of each class in a table occur in another class of it too, and a bitmap of all.
 
-    No intersection with a class of the table can be larger than that.
+    No intersection with a class of the table can be larger than ``common``, or than n less the bits that only one of the two has.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,9 +283,14 @@ def _common(units: DataFrame, classes: DataFrame, rest: DataFrame) -> DataFrame:
 
     ends = saved(rest.select("uid").distinct(), "ends")
     rows = join_groups(units, ends, ["uid"], "inner").dropDuplicates(["uid"]).select("uid", "text").mapInArrow(run, "uid long, shingle long")
+    rows = saved(rows, "shingles")
+    bits = [F.coalesce(F.bit_or(F.when(F.expr(f"shiftrightunsigned(shingle, 6) % {BITMAP} = {k}"), F.expr("shiftleft(1L, cast(shingle & 63 AS int))"))), F.lit(0)).alias(f"bits{k}") for k in range(BITMAP)]
     owned = rows.groupBy("shingle").agg(F.min("uid").alias("uid"), F.max("uid").alias("last")).where("uid = last")
     own = owned.groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
-    return ends.join(classes.select("uid", "n"), "uid").join(own, "uid", "left").select("uid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    counted = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), *bits).join(own, "uid", "left")
+    out = saved(counted.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "bounds")
+    drop_saved(ends, rows)
+    return out
 
 
 @dataclass
@@ -323,18 +333,22 @@ def grouped(units: DataFrame, sketcher: Sketcher, percent: int = 75, slack: floa
     rest = saved(placed.join(open_, "bucket", "left_semi").where("uid <> hub"), "open")
     counts = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    bounds = saved(_common(units, classes, rest).where(100 * F.col("common") >= percent * F.col("n")), "bounds")
+    bounded = _common(units, rest)
+    bounds = bounded.where(100 * F.col("common") >= percent * F.col("n"))
     sides = rest.select("bucket", "uid", "component").join(main, "bucket").join(bounds, "uid")
-    few = sides.where("component <> main").select("bucket", F.col("uid").alias("u"), F.col("component").alias("c"), F.col("n").alias("n_u"), F.col("common").alias("common_u"))
+    few = sides.where("component <> main").select("bucket", F.col("uid").alias("u"), F.col("component").alias("c"), F.col("n").alias("n_u"), F.col("common").alias("common_u"), *[F.col(f"bits{k}").alias(f"bits{k}_u") for k in range(BITMAP)])
     # 100 * intersection >= percent * union bounds the intersection from below by the sizes
-    may = (100 + percent) * F.least("common", "common_u") >= percent * (F.col("n") + F.col("n_u"))
+    ends_of = [(f"bits{k}", f"bits{k}_u") for k in range(BITMAP)]
+    need = percent * (F.col("n") + F.col("n_u"))
+    only = [reduce(operator.add, [F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) for a, b in pairs]) for pairs in (ends_of, [p[::-1] for p in ends_of])]
+    may = ((100 + percent) * F.least("common", "common_u") >= need) & ((100 + percent) * (F.col("n") - only[0]) >= need) & ((100 + percent) * (F.col("n_u") - only[1]) >= need)
     apart = (F.col("component") != F.col("c")) & ((F.col("component") == F.col("main")) | (F.col("uid") < F.col("u")))
     cross = sides.join(few, "bucket").where(apart & may)
     found = cross.select(F.least("u", "uid").alias("u"), F.greatest("u", "uid").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     more = saved(_estimated(found, classes, sketcher, least), "pairs")
     links2 = _confirmed(more, units, percent)
     final = saved(components(links.unionAll(links2)), "labels")
-    drop_saved(shared, members, stars, labels, placed, rest, bounds, more)
+    drop_saved(shared, members, stars, labels, placed, rest, bounded, more)
     return Groups(narrow, classes.select("uid", "set_key"), final)
 
 
