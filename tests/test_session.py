@@ -47,7 +47,7 @@ def test_insert_select_update_delete(db):
     db.sql("CREATE TABLE s (key TEXT PRIMARY KEY, value TEXT)")
     db.sql("INSERT INTO s SELECT concat(key, '!'), value FROM t WHERE key = 'k1'")
     assert rows(db, "SELECT * FROM s") == [("k1!", "v1")]
-    db.sql("UPDATE t SET value = concat(value, '+') WHERE key IN (SELECT 'k2')")
+    db.sql("UPDATE t SET value = concat(value, '+') WHERE key IN (SELECT key FROM t WHERE value = 'v2')")
     assert rows(db) == [("k1", "v1"), ("k2", "v2+")]
     db.sql("UPDATE t SET key = concat(key, 'x') WHERE key = 'k1'")
     assert rows(db) == [("k1x", "v1"), ("k2", "v2+")]
