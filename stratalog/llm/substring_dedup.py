@@ -5,8 +5,15 @@ Paragraphs are lines of at least ``MIN_LINE`` words.  Their shingle sets go thro
 confirmed by exact Jaccard similarity, and components of confirmed links are clusters.
 
 A passage can also repeat inside long lines that differ around it, or over several short ones.  So whole texts
-are also cut where a word's hash is the least among its neighbours; the cuts move with the text, and pieces of
-at least ``MIN_PIECE`` words that are equal in several documents are clusters as well.
+are searched for equal runs of words too:
+
+1. Seeds: of every ``SPAN`` neighbouring grams (``GRAM`` words) the one with the least hash, the last of equal ones.
+   Texts that share a run of ``GRAM + SPAN - 1`` words share a seed in it, repetitive text included.
+2. Seeds that several documents hold cover a run but for its ends.  Where one of a seed's occurrences has no such
+   seed next to it, all grams around all its occurrences are compared too, so that runs are reported whole.
+
+So every run of 23 words or more is found to its last word; shorter ones (12 words at least) where they have a seed.
+A row of kind ``run`` is a stretch whose grams all first occur in one document, named by the key of its first gram.
 
 Only clusters that reach over two documents or more count.  The first occurrence (least doc_id, then place)
 stays, all others are removals.  Places count words of the whole text.
@@ -22,34 +29,51 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_groups, saved, word_array
+from .common import BROADCAST_ROWS, drop_saved, join_groups, saved, word_array
 from .setsketch import Sketcher, U, WordHashes, batched, grouped, mixed
 
-MIN_LINE, MIN_PIECE, REACH = 25, 10, 6
+MIN_LINE, GRAM, SPAN = 25, 12, 12
 SKETCHER = Sketcher(bands=20, rows=4)
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("uid", pa.int64())])
-
-
-def sequence_keys(w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each piece of hashed words; piece i begins at cuts[i] and ends at cuts[i + 1]."""
-    lengths = np.diff(cuts)
-    place = np.arange(cuts[0], cuts[-1]) - np.repeat(cuts[:-1], lengths)
-    x = mixed(w[cuts[0] : cuts[-1]] ^ mixed(place.astype(U) + U(1)))
-    return mixed(np.add.reduceat(x, cuts[:-1] - cuts[0])).view(np.int64)
-
-
-def own_cuts(w: np.ndarray) -> np.ndarray:
-    """Places whose hash is less than all others within reach."""
-    if len(w) <= 2 * REACH:
+GRAMS = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("key", pa.int64())])
+GRAM_COLUMNS = "doc_id long, tid long, pos int, key long"
+#: Odd multipliers, one for each word of a gram.
+FACTORS = mixed(np.arange(1, GRAM + 1, dtype=U)) | U(1)
+#: Words whose hashes a task keeps from one part to the next.
+CACHED = 100_000
+#: Low bits that hold a gram's place while the least of a span is searched.
+PLACE = U((1 << 24) - 1)
+
+
+def gram_keys(w: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each gram of hashed words."""
+    n = max(len(w) - GRAM + 1, 0)
+    x = np.zeros(n, U)
+    for j, f in enumerate(FACTORS):
+        x += w[j : j + n] * f
+    return mixed(x)
+
+
+def seed_places(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the seeds among the grams of many texts; ends[i] is the place after the last gram of gram i's text."""
+    n = len(keys) - SPAN + 1
+    if n <= 0:
         return np.empty(0, np.int64)
-    near = sliding_window_view(w, 2 * REACH + 1)
-    middle = near[:, REACH]
-    return np.nonzero((near <= middle[:, None]).sum(axis=1) == 1)[0] + REACH
+    if len(keys) > int(PLACE):  # one text of so many words: in overlapping parts
+        half = int(PLACE) // 2
+        parts = [seed_places(keys[i : i + half + SPAN - 1], ends[i : i + half + SPAN - 1] - i) + i for i in range(0, len(keys), half)]
+        return np.unique(np.concatenate(parts))
+    least = (keys & ~PLACE) | (PLACE - np.arange(len(keys), dtype=U))
+    width = 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    full = np.arange(n) + SPAN <= ends[:n]
+    return np.unique((PLACE - (least[full] & PLACE)).astype(np.int64))
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,27 +83,89 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return words.where(F.size("w") >= MIN_LINE).select("doc_id", "line", F.size("w").cast("long").alias("n_words"), F.xxhash64(F.lower(F.array_join("w", " "))).alias("uid"), "text")
 
 
-def pieces(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, first_word, n_words, uid): pieces of whole texts between places that depend on near words only."""
+def texts_of(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, tid, text); documents that share an id are told apart by their text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+
+
+def hashed_words(batch: pa.RecordBatch, uids: list, hashes: WordHashes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(uids, words in each text, hashes of all words) in parts of bounded size."""
+    for ids, units in batched(pa.RecordBatch.from_arrays([pa.array(uids), batch["text"]], names=["uid", "text"])):
+        if len(hashes) > CACHED:
+            hashes.clear()
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        yield ids, sizes, np.fromiter(map(hashes.__getitem__, chain.from_iterable(units)), U, int(sizes.sum()))
+
+
+def seeds(texts: DataFrame) -> DataFrame:
+    """(doc_id, tid, pos, key) of the seeds of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for doc_ids, units in batched(batch):
-                sizes = np.fromiter(map(len, units), np.int64, len(units))
-                w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(units)), U, int(sizes.sum()))
-                cuts = own_cuts(w)
-                if len(cuts) < 2:
-                    continue
+            doc_ids, tids = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "tid"))
+            for ids, sizes, w in hashed_words(batch, list(range(batch.num_rows)), hashes):
+                keys = gram_keys(w)
                 begins = np.cumsum(sizes) - sizes
-                keys, lengths, owner = sequence_keys(w, cuts), np.diff(cuts), np.searchsorted(begins, cuts, "right") - 1
-                keep = (lengths >= MIN_PIECE) & (owner[1:] == owner[:-1])
-                # near a text's ends the neighbours are another text's, which only moves cuts there
-                own, ids = owner[:-1][keep], np.array(doc_ids, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[own], cuts[:-1][keep] - begins[own], lengths[keep], keys[keep])], schema=PIECES)
+                owner = np.repeat(np.arange(len(ids)), sizes)[: len(keys)]
+                at = seed_places(keys, (begins + sizes - GRAM + 1)[owner])
+                own, rows = owner[at], np.array(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_ids[rows[own]], tids[rows[own]], (at - begins[own]).astype(np.int32), keys[at].view(np.int64))], schema=GRAMS)
+
+    return texts.mapInArrow(run, GRAM_COLUMNS)
+
 
-    given = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col(text).alias("text")).where("uid is not null and text is not null")
-    return given.mapInArrow(run, "doc_id long, first_word long, n_words long, uid long")
+def all_grams(texts: DataFrame) -> DataFrame:
+    """(doc_id, tid, pos, key) of all grams within ``SPAN`` of the places before[] and after[] of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, near = WordHashes(), np.arange(SPAN + 1)
+        for batch in batches:
+            doc_ids, tids = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "tid"))
+            for ids, sizes, w in hashed_words(batch, list(range(batch.num_rows)), hashes):
+                keys, rows = gram_keys(w), np.array(ids, np.int64)
+                found = []
+                for row, begin, size in zip(ids, np.cumsum(sizes) - sizes, sizes, strict=True):
+                    before, after = (batch[c][row].values.to_numpy(zero_copy_only=False).astype(np.int64)[:, None] for c in ("before", "after"))
+                    at = np.unique(np.concatenate([(before - near).ravel(), (after + near).ravel()]))
+                    found.append(at[(at >= 0) & (at <= size - GRAM)] + begin)
+                own, at = np.repeat(np.arange(len(ids)), list(map(len, found))), np.concatenate(found)
+                pos = at - (np.cumsum(sizes) - sizes)[own]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_ids[rows[own]], tids[rows[own]], pos.astype(np.int32), keys[at].view(np.int64))], schema=GRAMS)
+
+    return texts.mapInArrow(run, GRAM_COLUMNS)
+
+
+def shared_grams(grams: DataFrame) -> DataFrame:
+    """(key, first) of grams that two documents or more hold."""
+    many = grams.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "tid")).alias("first"), F.max("doc_id").alias("last"))
+    return many.where("first.doc_id < last").select("key", "first")
+
+
+def runs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, place, n_words, cluster, kept_doc_id, removed): whole runs of words that several documents hold."""
+    texts = texts_of(docs, text)
+    found = saved(seeds(texts), "seeds")
+    hits = join_groups(found, saved(found.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key"), "seed-keys"), ["key"], "inner")
+    in_text = Window.partitionBy("doc_id", "tid").orderBy("pos")
+    gap = lambda x: F.coalesce(x > GRAM, F.lit(True))
+    marked = saved(hits.select("doc_id", "tid", "pos", "key", gap(F.col("pos") - F.lag("pos").over(in_text)).alias("begins"), gap(F.lead("pos").over(in_text) - F.col("pos")).alias("ends")), "seed-hits")
+    drop_saved(found)
+    # an end of one occurrence: the grams there are needed of all occurrences
+    edges = saved(marked.groupBy("key").agg(F.max("begins").alias("b"), F.max("ends").alias("e")).where("b or e"), "edges")
+    at = lambda c: F.collect_set(F.when(F.col(c), F.col("pos")))
+    zones = saved(join_groups(marked, edges, ["key"], "inner").groupBy("doc_id", "tid").agg(at("b").alias("before"), at("e").alias("after")), "zones")
+    n_places = zones.agg(F.sum(F.size("before") + F.size("after"))).first()[0] or 0
+    dense = all_grams(texts.join(F.broadcast(zones) if n_places <= BROADCAST_ROWS else zones, ["doc_id", "tid"]))
+    every = saved(marked.select("doc_id", "tid", "pos", "key").unionAll(dense), "grams")
+    drop_saved(marked, zones)
+    held = join_groups(every, saved(shared_grams(every), "gram-keys"), ["key"], "inner")
+    by = ["doc_id", "tid", "kept_doc_id", "removed"]
+    held = held.select("doc_id", "tid", F.col("first.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "pos", "tid") != F.col("first")).alias("removed"), F.col("pos").cast("long").alias("pos"), "key")
+    ordered = Window.partitionBy(*by).orderBy("pos")
+    parts = held.select(*by, "pos", "key", F.when(F.col("pos") - F.lag("pos").over(ordered) <= GRAM, 0).otherwise(1).alias("new")).select(*by, "pos", "key", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
+    whole = parts.groupBy(*by, "part").agg(F.min("pos").alias("place"), (F.max("pos") - F.min("pos") + GRAM).alias("n_words"), F.min_by("key", "pos").alias("cluster"))
+    return whole.select("doc_id", "place", "n_words", "cluster", "kept_doc_id", "removed")
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -87,9 +173,9 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     units = lines(docs, text)
     labels = grouped(units.select("uid", "text"), SKETCHER).labelled().groupBy("uid").agg(F.min("component").alias("cluster"))
     long_lines = units.select("doc_id", F.col("line").cast("long").alias("place"), "n_words", F.lit("line").alias("kind"), "uid").join(labels, "uid").select("doc_id", "place", "n_words", "kind", "cluster")
-    cut = pieces(docs, text).select("doc_id", F.col("first_word").alias("place"), "n_words", F.lit("piece").alias("kind"), F.col("uid").alias("cluster"))
-    every = saved(long_lines.unionAll(cut), "clusters")
+    every = saved(long_lines, "clusters")
     many = every.groupBy("kind", "cluster").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     shared = saved(many.select("kind", "cluster", "first"), "shared")
     out = join_groups(every, shared, ["kind", "cluster"], "inner")
-    return out.select("doc_id", "kind", "place", "n_words", "cluster", F.col("first.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "place") != F.col("first")).alias("removed"))
+    out = out.select("doc_id", "kind", "place", "n_words", "cluster", F.col("first.doc_id").alias("kept_doc_id"), (F.struct("doc_id", "place") != F.col("first")).alias("removed"))
+    return out.unionByName(runs(docs, text).withColumn("kind", F.lit("run")))

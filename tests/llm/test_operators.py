@@ -102,6 +102,32 @@ def test_repeats(docs, empty):
     assert substring_dedup.repeats(empty).count() == 0
 
 
+def test_runs_are_whole(spark):
+    lists, stock = " ".join(["one item", "two items"] * 40), prose(77, 51)
+    texts = [(1, prose(60, 40) + " " + lists), (2, lists + " " + prose(61, 40)), (4, prose(64, 200)), (4, prose(65, 30))]
+    # passages of 23 to 61 words, some in many documents that share more or less of the words around
+    for i in range(40):
+        k, n = i % 10, 23 + 4 * (i % 10)
+        texts.append((100 + i, prose(200 + i, 50) + " " + prose(500 + k, n) + " " + prose(300 + i, 50)))
+        texts.append((200 + i, prose(400 + i, 9) + " " + " ".join(stock.split()[i % 3 : 51 - i % 5])))
+    rows = [(i, [w.lower() for w in words(t)]) for i, t in texts]
+    held = {}
+    for d, (i, w) in enumerate(rows):
+        for p in range(len(w) - 22):
+            held.setdefault(tuple(w[p : p + 23]), []).append((i, d, p))
+    want = {(i, p + j) for x in held.values() if len({i for i, _, _ in x}) > 1 for i, _, p in x for j in range(23)}
+    got = [r for r in substring_dedup.repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect() if r.kind == "run"]
+    assert want <= {(r.doc_id, p) for r in got for p in range(r.place, r.place + r.n_words)}
+    # all 12 words in a row of a report stand in the kept document too
+    of = {}
+    for i, w in rows:
+        of.setdefault(i, set()).update(tuple(w[p : p + 12]) for p in range(len(w) - 11))
+    for r in got:
+        w = next(w for i, w in rows if i == r.doc_id)
+        assert tuple(w[r.place : r.place + 12]) in of[r.kept_doc_id] and tuple(w[r.place + r.n_words - 12 : r.place + r.n_words]) in of[r.kept_doc_id]
+        assert r.removed or r.doc_id == r.kept_doc_id
+
+
 def test_mix(docs, empty, rows):
     got = mixing.plan_copies(docs, carry=["doc_id"]).collect()
     total = sum(len(words(t)) for _, t, *_ in rows)
