@@ -7,16 +7,18 @@ its original.  Where windows have placeholders, their fillers are compared along
 the item must stand for one value of the document throughout, else those windows don't count.
 
 An item's windows are indexed twice: with names as placeholders and as words, for documents in one case
-throughout.  Windows with fewer than ``MIN_WORDS`` words besides placeholders aren't indexed.  A document holds
-an item if windows for ``MIN_SHARE`` of the item's, or ``MIN_RUN`` of them, match.
+throughout.  A window with fewer than ``MIN_WORDS`` words besides placeholders, or an item shorter than a window as a
+whole, is indexed by its raw tokens in lower case instead, and only meets the very same ones.  A document holds an item if windows for ``MIN_SHARE`` of the item's, or ``MIN_RUN`` of them, match.
 
-Defined results: null or empty text holds nothing; items with fewer tokens than a window can't be told from
-chance and are not searched; items with equal windows are all reported; copies of a text get equal rows;
+Defined results: null or empty text holds nothing; items without tokens are not searched; items with fewer tokens than a
+window, even a single one, are held by each text that has all of them in a row; items with equal windows are all reported; copies of a text get equal rows;
 without items every document is clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,26 +69,47 @@ def windows(hashes: str, size: int = WINDOW) -> Column:
     return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), at))
 
 
-def _window_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row (*keep, pos, h) for each window of the column ``canon``.
+def raw_windows(hashes: str, size: int) -> Column:
+    """Hashes of windows of raw tokens, which never meet those of canonical ones."""
+    at = lambda i: F.xxhash64(F.lit(-size), *[F.get(F.col(hashes), i + j) for j in range(size)])
+    return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), at))
+
+
+def plain_tokens(raw: str) -> Column:
+    return F.transform(F.col(raw), lambda x: F.lower(F.ltrim(x, F.lit(MARK))))
+
+
+def _window_rows(rows: DataFrame, keep: list[str], raw_sizes: list[int] | None = None) -> DataFrame:
+    """A row (*keep, pos, h) for each window of the column ``canon``, and for those of ``raw`` of the sizes given.
 
     The outer form of the generator, since for the inner one Spark repeats its input in a filter further down.
     """
-    hashed = rows.select(*keep, F.transform("canon", lambda x: F.xxhash64(x)).alias("hashes"))
-    return hashed.select(*keep, windows("hashes").alias("w")).select(*keep, F.posexplode_outer("w").alias("pos", "h")).where("h is not null")
+    placed = lambda w: F.coalesce(F.transform(w, lambda h, i: F.struct(i.alias("pos"), h.alias("h"))), F.array().cast("array<struct<pos:int,h:bigint>>"))
+    sizes = raw_sizes or []
+    more = [F.transform(plain_tokens("raw"), lambda x: F.xxhash64(x)).alias("raw_hashes")] if sizes else []
+    hashed = rows.select(*keep, F.transform("canon", lambda x: F.xxhash64(x)).alias("hashes"), *more)
+    both = F.concat(placed(windows("hashes")), *[placed(raw_windows("raw_hashes", k)) for k in sizes])
+    return hashed.select(*keep, both.alias("w")).select(*keep, F.explode_outer("w").alias("w")).where("w is not null").select(*keep, "w.pos", "w.h")
 
 
 def index(items: DataFrame) -> DataFrame:
-    """(item_id, ipos, h, n, slots): windows of the items, how many each item has, and the fillers by offset."""
+    """(item_id, ipos, h, size, n, slots): windows of the items, how many each item has, and the fillers by offset.
+
+    ``size`` is null for canonical windows, else the number of raw tokens.
+    """
     raw = items.select("item_id", tokens(F.col("text")).alias("raw"))
     form = lambda names: raw.select("item_id", F.lit(names).alias("names"), "raw", canonical("raw", names).alias("canon"))
     keep = ["item_id", "names", "raw", "canon"]
     rows = _window_rows(form(True).unionAll(form(False)), keep).select("item_id", "names", F.col("pos").alias("ipos"), "h", *[F.slice(c, F.col("pos") + 1, WINDOW).alias(c) for c in ("raw", "canon")])
     slot = F.filter(F.transform("canon", lambda x, i: F.when(x.isin("#", "%", "@"), F.struct(i.alias("off"), F.concat(x, F.lower(F.ltrim(F.get(F.col("raw"), i), F.lit(MARK)))).alias("value")))), lambda s: s.isNotNull())
     kept = rows.select("item_id", "names", "ipos", "h", slot.alias("slots")).where(F.size("slots") <= WINDOW - MIN_WORDS)
-    # an item's windows as a template; as words only where no window of the template has enough of them
-    n = kept.groupBy("item_id").agg(F.count_distinct(F.when(F.col("names"), F.col("ipos"))).alias("t"), F.count_distinct("ipos").alias("w"))
-    return kept.drop("names").distinct().join(n.select("item_id", F.when(F.col("t") > 0, F.col("t")).otherwise(F.col("w")).alias("n")), "item_id").select("item_id", "ipos", "h", "n", "slots")
+    # raw tokens, where no window of the template has enough words
+    words = raw.select("item_id", F.transform(plain_tokens("raw"), lambda x: F.xxhash64(x)).alias("raw_hashes"))
+    exact = [words.where(F.size("raw_hashes") == k if k < WINDOW else F.size("raw_hashes") >= k).select("item_id", F.posexplode(raw_windows("raw_hashes", k)).alias("ipos", "h"), F.lit(k).alias("size")) for k in range(1, WINDOW + 1)]
+    dense = reduce(DataFrame.unionAll, exact).join(kept.where("names").select("item_id", "ipos"), ["item_id", "ipos"], "left_anti")
+    known = kept.select("item_id", "ipos", "h", F.lit(None).cast("int").alias("size"), "slots").unionAll(dense.withColumn("slots", F.slice(F.array(F.lit(None).cast(kept.schema["slots"].dataType.elementType)), 1, 0)).select("item_id", "ipos", "h", "size", "slots"))
+    n = known.groupBy("item_id").agg(F.count_distinct("ipos").alias("n"))
+    return known.distinct().join(n, "item_id").select("item_id", "ipos", "h", "size", "n", "slots")
 
 
 def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
@@ -94,9 +117,10 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     known = saved(index(items.select("item_id", "text")), "bench-windows")
     n_known = known.count()
     hint = F.broadcast if n_known <= BROADCAST_ROWS else lambda x: x
+    sizes = sorted(r["size"] for r in known.where("size is not null").select("size").distinct().collect())
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
-    canon = texts.select("key", tokens(F.col("t")).alias("raw")).select("key", canonical("raw").alias("canon"))
-    hits = saved(_window_rows(canon, ["key"]).join(hint(known.select("h").distinct()), "h", "left_semi").distinct(), "bench-hits")
+    canon = texts.select("key", tokens(F.col("t")).alias("raw")).select("key", "raw", canonical("raw").alias("canon"))
+    hits = saved(_window_rows(canon, ["key"], sizes).join(hint(known.select("h").distinct()), "h", "left_semi").distinct(), "bench-hits")
     met = hits.join(hint(known), "h").select("key", "item_id", "n", "ipos", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots")
     plain = met.where(F.size("slots") == 0).select("key", "item_id", "n", "ipos", F.lit(0).alias("reset"))
     # fillers: only for texts with a matched window that has some

@@ -176,6 +176,14 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(empty, items).count() == 0
 
 
+def test_decontamination_word_for_word(spark):
+    items = [(1, "What is the capital of France?"), (2, "12 + 35 = 47 , 81 - 19 = 62 , 7 x 9 = 63 , 99 / 11 = 9 , 40 + 2 = 42"), (3, "\u6cd5\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f"), (4, "Then Ann met Bob , Carl met Dora , Emil met Fred , Gina met Hans and Ida met Jim ,")]
+    docs = [(10 * i, prose(i, 40) + ". " + t + " " + prose(i + 50, 40)) for i, t in items] + [(50, "12 + 36 = 48 , 82 - 19 = 63 , 7 x 8 = 56 , 99 / 9 = 11 , 40 + 3 = 43"), (60, "What is the capital of Spain?"), (70, prose(70, 60))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10 * i, i) for i, _ in items}
+
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 257, 5000])
 def test_range_coder(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 49407).astype(np.uint32)
