@@ -8,7 +8,8 @@ the item must stand for one value of the document throughout, else those windows
 
 An item's windows are indexed twice: with names as placeholders and as words, for documents in one case
 throughout.  A window with fewer than ``MIN_WORDS`` words besides placeholders, or an item shorter than a window as a
-whole, is indexed by its raw tokens in lower case instead, and only meets the very same ones.  A document holds an item if windows for ``MIN_SHARE`` of the item's, or ``MIN_RUN`` of them, match.
+whole, is indexed by its raw tokens in lower case instead, and only meets the very same ones.  A document holds an item if the windows that match hold ``MIN_SHARE`` of the item's tokens, and ``WINDOW`` of its words or all it has (fillers
+count as words where they are equal), or if ``MIN_RUN`` windows match.
 
 Defined results: null or empty text holds nothing; items without tokens are not searched; items with fewer tokens than a
 window, even a single one, are held by each text that has all of them in a row; items with equal windows are all reported; copies of a text get equal rows;
@@ -112,6 +113,14 @@ def index(items: DataFrame) -> DataFrame:
     return known.distinct().join(n, "item_id").select("item_id", "ipos", "h", "size", "n", "slots")
 
 
+def lengths(items: DataFrame) -> DataFrame:
+    """(item_id, n_tokens, words): how many tokens each item has, and the places of those that are no placeholders."""
+    canon = items.select("item_id", tokens(F.col("text")).alias("raw")).select("item_id", canonical("raw").alias("canon"))
+    places = F.filter(F.transform("canon", lambda x, i: F.when(~x.isin("#", "%", "@"), i)), lambda i: i.isNotNull())
+    whole = canon.groupBy("item_id").agg(F.max(F.struct(F.size("canon").alias("n_tokens"), places.alias("words"))).alias("item"))
+    return whole.select("item_id", "item.n_tokens", "item.words")
+
+
 def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """(key, item_id, n_windows, n_matched, n_reset): for texts that hold items; ``n_reset`` windows had other fillers."""
     known = saved(index(items.select("item_id", "text")), "bench-windows")
@@ -132,8 +141,13 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     sound = pairs.groupBy("key", "item_id", "shift").agg((F.count_distinct("value", "filler") == F.count_distinct("value")).alias("sound"), (F.sum(F.when(F.substr("value", F.lit(2)) != F.col("filler"), 1).otherwise(0)) > 0).cast("int").alias("reset"))
     refilled = filled.select("key", "item_id", "n", "ipos", "shift").join(sound.where("sound"), ["key", "item_id", "shift"]).select("key", "item_id", "n", "ipos", "reset")
     by_item = plain.unionAll(refilled).groupBy("key", "item_id", "n", "ipos").agg(F.min("reset").alias("reset"))
-    summed = by_item.groupBy("key", "item_id", F.col("n").alias("n_windows")).agg(F.count(F.lit(1)).alias("n_matched"), F.sum("reset").alias("n_reset"))
-    return summed.where((F.col("n_matched") >= MIN_SHARE * F.col("n_windows")) | (F.col("n_matched") >= MIN_RUN))
+    summed = by_item.groupBy("key", "item_id", F.col("n").alias("n_windows")).agg(F.count(F.lit(1)).alias("n_matched"), F.sum("reset").alias("n_reset"), F.collect_list("ipos").alias("all"), F.collect_list(F.when(F.col("reset") == 0, F.col("ipos"))).alias("same"))
+    held = summed.join(lengths(items), "item_id")
+    tokens_at = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda i: F.sequence(i, F.least(i + WINDOW, F.col("n_tokens")) - 1))))
+    held = held.select("*", tokens_at("all").alias("covered"), tokens_at("same").alias("equal"))
+    n_words = F.size(F.array_union(F.array_intersect("covered", "words"), F.col("equal")))
+    enough = (F.size("covered") >= MIN_SHARE * F.col("n_tokens")) & (n_words >= F.least(F.lit(WINDOW), F.greatest(F.size("words"), F.lit(1))))
+    return held.where(enough | (F.col("n_matched") >= MIN_RUN)).select("key", "item_id", "n_windows", "n_matched", "n_reset")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
