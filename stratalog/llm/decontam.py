@@ -4,7 +4,8 @@ Texts become sequences of canonical tokens: numbers, units after numbers, and na
 a sentence) become typed placeholders, other words lower case.  Windows of ``WINDOW`` tokens of benchmark items
 and of documents meet in a hash join, so a question asked again with other numbers or names still meets
 its original.  Where windows have placeholders, their fillers are compared along the alignment: one value of
-the item must stand for one value of the document throughout, else those windows don't count.
+the item must stand for one value of the document throughout, else windows with that value don't count, unless
+all fillers of a window are the item's own.
 
 An item's windows are indexed twice: with names as placeholders and as words, for documents in one case
 throughout.  A window with fewer than ``MIN_WORDS`` words besides placeholders, or an item shorter than a window as a
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, column_or_null, join_groups, packed, saved, text_key
@@ -138,8 +139,10 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     some = join_groups(texts.select("key", "t"), wanted, ["key"], "inner").groupBy("key").agg(F.first("t").alias("t")).select("key", tokens(F.col("t")).alias("raw"))
     pairs = filled.join(some, "key").select("key", "item_id", "n", "ipos", "shift", F.explode_outer("slots").alias("slot"), "raw", "pos")
     pairs = pairs.select("key", "item_id", "n", "ipos", "shift", F.col("slot.value").alias("value"), F.lower(F.ltrim(F.get("raw", F.col("pos") + F.col("slot.off")), F.lit(MARK))).alias("filler"))
-    sound = pairs.groupBy("key", "item_id", "shift").agg((F.count_distinct("value", "filler") == F.count_distinct("value")).alias("sound"), (F.sum(F.when(F.substr("value", F.lit(2)) != F.col("filler"), 1).otherwise(0)) > 0).cast("int").alias("reset"))
-    refilled = filled.select("key", "item_id", "n", "ipos", "shift").join(sound.where("sound"), ["key", "item_id", "shift"]).select("key", "item_id", "n", "ipos", "reset")
+    along = Window.partitionBy("key", "item_id", "shift", "value")
+    judged = pairs.select("*", (F.min("filler").over(along) == F.max("filler").over(along)).alias("one"), (F.substr("value", F.lit(2)) == F.col("filler")).alias("equal"))
+    by_window = judged.groupBy("key", "item_id", "n", "ipos", "shift").agg(F.min("one").alias("one"), F.min("equal").alias("equal"))
+    refilled = by_window.where("one or equal").select("key", "item_id", "n", "ipos", F.when(F.col("equal"), 0).otherwise(1).alias("reset"))
     by_item = plain.unionAll(refilled).groupBy("key", "item_id", "n", "ipos").agg(F.min("reset").alias("reset"))
     summed = by_item.groupBy("key", "item_id", F.col("n").alias("n_windows")).agg(F.count(F.lit(1)).alias("n_matched"), F.sum("reset").alias("n_reset"), F.collect_list("ipos").alias("all"), F.collect_list(F.when(F.col("reset") == 0, F.col("ipos"))).alias("same"))
     held = summed.join(lengths(items), "item_id")

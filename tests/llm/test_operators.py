@@ -197,6 +197,17 @@ def test_decontamination_share(spark):
 
 
 
+def test_decontamination_fillers(spark):
+    item = "if Ann walks 3 hours and then eats 3 apples with Ann 's brother , how many of the red apples that Ann bought are left when 3 friends come over to see Ann today"
+    docs = [(1, item.replace("that Ann bought", "that Eve bought")), (2, item.replace("3 apples", "5 apples")), (3, item.replace("Ann walks", "Tom walks")), (4, prose(9, 60))]
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert set(got) == {1, 2, 3}
+    # of the item's windows, all but those that hold the edited word
+    assert all(got[i].n_matched >= got[i].n_windows - 8 and got[i].n_reset == 0 for i in got)
+
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 257, 5000])
 def test_range_coder(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 49407).astype(np.uint32)
