@@ -51,6 +51,30 @@ def merkle_roots(leaves: DataFrame, most: int = BATCH) -> DataFrame:
     return level.select("batch", F.col("x").alias("root"))
 
 
+def merkle_proofs(leaves: DataFrame, most: int = BATCH) -> DataFrame:
+    """(batch, place, h, proof) of leaves (batch, place, h): the step of each level from a leaf to its batch's root.
+
+    Takes the same levels as ``merkle_roots``: an odd last node is its own sibling, and a batch down to one node has no more steps.
+    """
+    sizes = leaves.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
+    level = leaves.join(sizes, "batch").select("batch", F.col("place").cast("bigint").alias("place"), F.sha2(F.concat(F.lit(LEAF), F.col("h")), 256).alias("x"), "size")
+    out = leaves.select("batch", F.col("place").cast("bigint").alias("place"), "h", F.array().cast("array<string>").alias("proof"), F.col("place").cast("bigint").alias("at"))
+    for _ in range((most - 1).bit_length()):
+        pair = level.groupBy("batch", F.floor(F.col("place") / 2).cast("bigint").alias("up")).agg(F.min_by("x", "place").alias("left"), F.max_by("x", "place").alias("right"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+        right = (F.col("n") == 1) | (F.col("at") % 2 == 0)
+        step = F.when(F.col("size") > 1, F.when(right, F.concat(F.lit("R:"), "right")).otherwise(F.concat(F.lit("L:"), "left")))
+        met = out.withColumn("up", F.floor(F.col("at") / 2).cast("bigint")).join(pair, ["batch", "up"])
+        out = met.select("batch", "place", "h", F.when(step.isNull(), F.col("proof")).otherwise(F.concat("proof", F.array(step))).alias("proof"), F.col("up").alias("at"))
+        level = merkle_level(level)
+    return out.drop("at")
+
+
+def inclusion(leaves: DataFrame, roots: DataFrame, most: int = BATCH) -> DataFrame:
+    """(batch, place, ok): whether each leaf's proof leads to the root (batch, root) kept of its batch."""
+    proofs = merkle_proofs(leaves, most).join(roots, "batch", "left")
+    return proofs.select("batch", "place", F.coalesce(verify_proof(F.col("h"), F.col("proof"), F.col("root")), F.lit(False)).alias("ok"))
+
+
 def verify_proof(leaf: Column, proof: Column, root: Column) -> Column:
     """Whether steps ``L:hash`` / ``R:hash`` lead from a leaf's digest to the root."""
     start = F.sha2(F.concat(F.lit(LEAF), leaf), 256)

@@ -59,6 +59,17 @@ def test_merkle_of_any_size(spark, n):
     assert [r.root for r in audit.merkle_roots(leaves).collect()] == level
 
 
+@pytest.mark.parametrize("n", [1, 3, 8, 13])
+def test_merkle_proofs(spark, n):
+    rows = [(b, p, f"{b}-{p}") for b in (1, 2) for p in range(n + b - 1)]
+    leaves = spark.createDataFrame(rows, "batch long, place long, h string")
+    roots = audit.merkle_roots(leaves, 14)
+    assert sorted((r.batch, r.place, r.ok) for r in audit.inclusion(leaves, roots, 14).collect()) == [(b, p, True) for b, p, _ in rows]
+    # a root kept from before a leaf of batch 2 changed
+    changed = leaves.withColumn("h", F.when((F.col("batch") == 2) & (F.col("place") == n), "other").otherwise(F.col("h")))
+    assert {(r.batch, r.ok) for r in audit.inclusion(changed, roots, 14).collect()} == {(1, True), (2, False)}
+
+
 def test_chain_errors(spark):
     import hashlib
 
