@@ -76,3 +76,9 @@ def compacted(log: DataFrame, keys: list[str], pin: int) -> DataFrame:
     later = log.where(F.col("lsn") > pin)
     floor = newest(log.where(F.col("lsn") <= pin), keys).where(~F.col("deleted"))
     return later.unionByName(floor.select(*later.columns))
+
+
+def phantoms(tickets: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(id, k): fresh keys (k) inside the scanned ranges (id, lo, hi) of all tickets; ranges are short, so their keys are joined."""
+    ranges = tickets.where("lo <= hi").select("id", F.explode(F.sequence("lo", "hi")).alias("k"))
+    return ranges.join(fresh, "k").select("id", "k")

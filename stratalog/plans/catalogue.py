@@ -247,6 +247,13 @@ COMPAT: dict[str, tuple[Query, str]] = {
         _contract,
         "WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS rn FROM ({log}) l WHERE lsn <= 5000), e AS (SELECT * FROM p WHERE rn = 1 AND NOT deleted), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS rn FROM ({log}) l), n AS (SELECT * FROM q WHERE rn = 1 AND NOT deleted) SELECT * FROM (SELECT CAST(coalesce(e.user_id, n.user_id) AS VARCHAR) AS key, CASE WHEN e.user_id IS NULL THEN 'unexpected' WHEN NOT e.durable THEN 'pending_uncommitted' WHEN n.lsn IS NULL OR n.lsn <> e.lsn THEN 'missing' END AS verdict FROM e FULL OUTER JOIN n ON e.user_id = n.user_id) v WHERE verdict IS NOT NULL",
     ),
+    "phantom_conflicts_all": (
+        lambda s, d: changelog.phantoms(
+            table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("lo"), (F.col("o_custkey") + 3).alias("hi")),
+            table(s, d, "customer").select(F.col("c_custkey").alias("k")).join(table(s, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), "k", "left_anti"),
+        ),
+        "WITH ticket AS (SELECT o_orderkey AS id, unnest(range(o_custkey, o_custkey + 4)) AS k FROM {orders}), fresh AS (SELECT c_custkey AS k FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P')) SELECT id, ticket.k AS k FROM ticket JOIN fresh ON ticket.k = fresh.k",
+    ),
     "policy_verdict": (
         lambda s, d: table(s, d, "events").select("event_id", audit.policy(*[(F.col("event_id") % n == 0).cast("int") for n in (11, 7, 5)], F.col("event_id") % 4, F.lit(2), (F.col("event_id") % 3 == 0).cast("int"), (F.col("event_id") % 2 == 0).cast("int")).alias("verdict")),
         "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'FAIL:unexpected_path' WHEN event_id % 7 = 0 THEN 'FAIL:tier' WHEN event_id % 5 = 0 THEN 'FAIL:decompress' WHEN event_id % 4 > 2 THEN 'FAIL:missing' WHEN event_id % 3 = 0 THEN 'FAIL:unexpected' WHEN event_id % 2 = 0 THEN 'WARN:pending' ELSE 'PASS' END AS verdict FROM {events}",

@@ -42,6 +42,13 @@ def test_compaction_keeps_reads(log):
         assert pairs(changelog.as_of_lsn(small, ["key"], lsn)) == pairs(changelog.as_of_lsn(log, ["key"], lsn))
 
 
+def test_phantoms_of_all_tickets(spark):
+    tickets = [(i, i % 37, i % 37 + 3) for i in range(200)] + [(900, 5, 4), (901, 0, 99)]
+    fresh = [(k,) for k in range(0, 60, 3)]
+    got = changelog.phantoms(spark.createDataFrame(tickets, "id long, lo long, hi long"), spark.createDataFrame(fresh, "k long"))
+    assert sorted((r.id, r.k) for r in got.collect()) == sorted((i, k) for i, lo, hi in tickets for (k,) in fresh if lo <= k <= hi)
+
+
 def test_fnv(spark):
     r = spark.createDataFrame([("ab",), ("",)], "k string").select(changelog.fnv1a(F.col("k")).alias("h")).collect()
     assert [x.h for x in r] == [1294271946, 2166136261]
