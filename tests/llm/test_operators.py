@@ -187,7 +187,7 @@ def test_decontamination_word_for_word(spark):
 def test_decontamination_share(spark):
     item = "the shop sold apples and pears for 12 euros , 15 euros , 18 euros , 3 kg , 4 kg , 5 kg , 17 euros , 19 euros , 21 euros"
     short = "how many green apples does Kim have left after lunch today"
-    docs = [(1, prose(1, 40) + " the shop sold apples and pears for 77 " + prose(2, 40)), (2, prose(3, 9) + " many green apples does Tom have left after " + prose(4, 9)), (3, item), (4, short.replace("Kim", "Tom"))]
+    docs = [(1, prose(1, 40) + " the shop sold apples and pears for 77 euros " + prose(2, 40)), (2, prose(3, 9) + " many green apples does Tom have left after " + prose(4, 9)), (3, item), (4, short.replace("Kim", "Tom"))]
     sold = "he sold 12 red apples to Ann , 15 pears to Bob"
     docs += [(5, "he sold 99 red apples to Eve"), (6, sold)]
     items = spark.createDataFrame([(7, item), (8, short), (9, sold)], "item_id long, text string")
