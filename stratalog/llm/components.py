@@ -16,11 +16,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge in (u, v).
 
     Each round links every node to the least of its neighbours, first the larger neighbours, then the
-    smaller ones; it ends when the edges are stars around the least nodes.  Loops and repeats do no harm.
+    smaller ones; it ends when the edges are stars around the least nodes.  Edges with a null end, loops and repeats
+    do no harm; without edges there are no rows.  Not ending after ``rounds`` (a chain of 2^rounds nodes would) is an error.
     """
     now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _sum_of(now)
-    for _ in range(rounds if before[0] else 0):
+    for _ in range(rounds):
+        if not before[0]:
+            break
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -31,4 +34,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now, last, before = after, before, _sum_of(after)
         if last == before:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,99 +5,33 @@ distributed hash values, truncated to 0..q+1.  Registers of a union are the maxi
 (``merge``), and equal registers become likelier with the Jaccard similarity.  Then:
 
 1. Equal sets become one class each, by a 128-bit hash of the set.
-2. Registers are banded; a band's values name a bucket.  In each bucket the class that shares most
-   buckets is the hub, and (hub, member) pairs are candidates.
+2. Registers are banded; a band's values name a bucket.  Members of a bucket are candidates, first those with its hub.
 3. From the registers of a pair and the exact set sizes, the similarity is estimated by joint likelihood; pairs
-   far below the threshold go.  The others are confirmed on their full sets.
-4. Confirmed links give components.  In buckets with several components left, every pair between two components
-   that wasn't compared yet is a candidate too, and is confirmed likewise; unless a set has too many shingles
-   found in no other set there for the pair to reach the threshold, which is an exact bound.  So no link that
-   shares a bucket is lost, and a group of thousands of near copies costs about as many comparisons as it has
-   members, for copies with too many changes of their own drop out by that bound.  A bitmap of each set bounds the
-   intersection as well: shingles whose bits the other lacks can't be in it.
+   far below the threshold go.  The others are confirmed on their full sets (``linking``).
+4. Buckets that still hold several components afterwards are compared in full, so no link that shares a bucket is lost.
 
 With 44 bands of 5 registers a pair at similarity 0.75 shares no bucket with a chance of 7e-6.
+
+Defined results: null or empty text has an empty set and is linked with nothing; rows with a null doc_id are linked
+with nothing and kept; rows that repeat a doc_id are told apart by their texts; of repeated rows one stays; of equally
+similar ones the least doc_id, then the least hash of the text, stays; texts of any length are hashed whole, in memory
+that grows with one text at most; other columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, join_groups, saved
-from .components import components
-
-SHINGLE = 5
-#: 64-bit words of the bitmaps that bound intersections; sets of far more than 1,024 shingles get no help from them.
-BITMAP = 16
-U = np.uint64
-
-
-class WordHashes(dict):
-    """64-bit hashes of words; forgets all when it is full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Bits of 64-bit integers well mixed (the finaliser of MurmurHash3)."""
-    x = x ^ (x >> U(33))
-    x = x * U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> U(33))
-    x = x * U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> U(33))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case; bytes split at exactly the six white-space characters of the word rule."""
-    return (text or "").encode().lower().split()
-
-
-def shingles_of(units: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingle hashes of many units, ascending within each, and where each unit begins.
-
-    The words of all units are hashed as one array; fewer than five words are one shingle.
-    """
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    w = np.fromiter(map(hashes.__getitem__, chain.from_iterable(units)), U, int(sizes.sum()))
-    begins = np.cumsum(sizes) - sizes
-    full = np.maximum(sizes - SHINGLE + 1, 0)
-    owner = np.repeat(np.arange(len(units)), full)
-    at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(full) - full), full)
-    x = np.full(len(owner), SHINGLE, U)
-    for j in range(SHINGLE):
-        x = mixed(x ^ w[at + j])
-    short = np.nonzero((sizes > 0) & (sizes < SHINGLE))[0]
-    if len(short):
-        y = sizes[short].astype(U)
-        for j in range(SHINGLE - 1):
-            more = sizes[short] > j
-            y[more] = mixed(y[more] ^ w[begins[short][more] + j])
-        x, owner = np.concatenate([x, y]), np.concatenate([owner, short])
-    order = np.lexsort((x, owner))
-    x, owner = x[order], owner[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (owner[1:] != owner[:-1])
-    x, owner = x[new], owner[new]
-    return x, np.searchsorted(owner, np.arange(len(units) + 1))
-
-
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return shingles_of([words], hashes)[0]
+from .common import drop_saved, join_groups, packed, saved, text_key
+from .hashing import U, binaries, lists, mixed, set_keys, slices, text_sets
+from .linking import linked
 
 
 @dataclass(frozen=True)
@@ -170,208 +104,113 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, bas
     return np.take_along_axis(grid, like.argmax(axis=0)[None], 0)[0]
 
 
-SKETCH = pa.schema([("uid", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()), ("registers", pa.binary()), ("buckets", pa.list_(pa.int64()))])
-SETS = pa.schema([("uid", pa.int64()), ("shingles", pa.binary())])
-
-
-def set_key(s: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
-
+SKETCH = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_a", pa.int64()), ("text_b", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("n", pa.int64()), ("registers", pa.binary()), ("buckets", pa.list_(pa.int64()))])
+SKETCH_COLUMNS = "row long, doc_id long, text_a long, text_b long, set_a long, set_b long, n long, registers binary, buckets array<long>"
+GIVEN = ["row", "doc_id", "text_a", "text_b"]
+SET = ["set_a", "set_b"]
 
-def batched(batch: pa.RecordBatch, words: int = 60_000, rows: int = 512) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(uids, words of the texts) in parts of bounded size; a longer text is a part of its own."""
-    uids, units, n = [], [], 0
-    for uid, text in zip(batch["uid"].to_pylist(), batch["text"], strict=True):
-        uids.append(uid)
-        units.append(words_of(text.as_py()))
-        n += len(units[-1])
-        if n >= words or len(uids) >= rows:
-            yield uids, units
-            uids, units, n = [], [], 0
-    if uids:
-        yield uids, units
 
-
-def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Slices of an array as binary values."""
-    raw = np.ascontiguousarray(data)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
-
-
-def sketched(units: DataFrame, sketcher: Sketcher) -> DataFrame:
-    """(uid, set_key, n, registers, buckets) of units (uid, text)."""
+def sketched(docs: DataFrame, sketcher: Sketcher, text: str) -> DataFrame:
+    """Set key, size, registers and buckets of each row, under a number of its own and a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for uids, words in batched(batch):
-                x, bounds = shingles_of(words, hashes)
-                n = np.diff(bounds)
-                r = sketcher.registers(x, bounds)
-                some = n > 0
-                keys = [set_key(x[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                regs = binaries(r[some].ravel(), np.concatenate([[0], np.cumsum(some * sketcher.m)]))
-                buckets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * sketcher.bands)]), pa.int32()), pa.array(sketcher.buckets(r[some]).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), regs, buckets.cast(pa.list_(pa.int64()))], schema=SKETCH)
+            for i, j, data, bounds in slices(batch["text"]):
+                x, at = text_sets(data, bounds)
+                some, (a, b) = np.diff(at) > 0, set_keys(x, at)
+                r = sketcher.registers(x, at)[some]
+                upto = np.concatenate([[0], np.cumsum(some)])
+                made = [pa.array(a), pa.array(b), pa.array(np.diff(at)), binaries(r.ravel(), upto * sketcher.m), lists(upto * sketcher.bands, pa.array(sketcher.buckets(r).ravel()))]
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in GIVEN), *made], schema=SKETCH)
 
-    return units.select("uid", "text").mapInArrow(run, "uid long, set_key binary, n long, registers binary, buckets array<long>")
+    key = text_key(F.col(text))
+    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key["a"].alias("text_a"), key["b"].alias("text_b"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return given.mapInArrow(run, SKETCH_COLUMNS)
 
 
-def full_sets(units: DataFrame) -> DataFrame:
-    """(uid, shingles): the full set of each unit as packed 64-bit hashes."""
+def full_sets(docs: DataFrame, wanted: DataFrame, text: str, repeats: bool) -> DataFrame:
+    """(uid, shingles): the sets of the texts that are wanted (uid, doc_id, set_a, set_b), as packed 64-bit hashes."""
+    schema = pa.schema([("uid", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for uids, words in batched(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), binaries(*shingles_of(words, hashes))], schema=SETS)
+            for i, j, data, bounds in slices(batch["text"]):
+                x, at = text_sets(data, bounds)
+                a, b = set_keys(x, at)
+                # another text of a doc_id that repeats isn't the one
+                same = (a == batch["set_a"].to_numpy()[i:j]) & (b == batch["set_b"].to_numpy()[i:j])
+                rows = pa.RecordBatch.from_arrays([batch["uid"].slice(i, j - i), binaries(x, at)], schema=schema)
+                yield rows if same.all() else rows.filter(pa.array(same))
 
-    return units.select("uid", "text").mapInArrow(run, "uid long, shingles binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = join_groups(texts, wanted, ["doc_id"], "inner").select("uid", *SET, "text").mapInArrow(run, "uid long, shingles binary")
+    return out.dropDuplicates(["uid"]) if repeats else out
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, sketcher: Sketcher, least: float) -> DataFrame:
-    """The pairs (u, v) whose estimate isn't far below the threshold."""
+def _likely(pairs: DataFrame, classes: DataFrame, sketcher: Sketcher, least: float) -> DataFrame:
+    """The pairs (hub, uid) whose estimated similarity isn't far below the threshold."""
     side = lambda x: classes.select(F.col("uid").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 b = batch.slice(i, 512)
-                regs = [np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("r_u", "r_v")]
-                n = [b[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_u", "n_v")]
+                regs = [np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(b.num_rows, -1) for c in ("r_hub", "r_uid")]
+                n = [b[c].to_numpy(zero_copy_only=False).astype(float) for c in ("n_hub", "n_uid")]
                 keep = pa.array(estimate(*regs, *n, sketcher.base) >= least)
-                yield pa.RecordBatch.from_arrays([b["u"].filter(keep), b["v"].filter(keep)], names=["u", "v"])
-
-    # sizes alone bound the similarity
-    sized = pairs.join(side("u"), "u").join(side("v"), "v").where(F.least("n_u", "n_v") >= least * F.greatest("n_u", "n_v"))
-    return sized.select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long")
-
-
-def _confirmed(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of a written table with 100 * intersection >= percent * union of their full sets."""
-    ends = saved(pairs.select(F.col("u").alias("uid")).unionAll(pairs.select(F.col("v").alias("uid"))).distinct(), "ends")
-    sets = saved(full_sets(join_groups(units, ends, ["uid"], "inner").dropDuplicates(["uid"])), "sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch["s_u"], batch["s_v"], strict=True):
-                a, b = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
-                both = np.intersect1d(a, b, assume_unique=True).size
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["u"].filter(keep), batch["v"].filter(keep)], names=["u", "v"])
-
-    side = lambda x: sets.select(F.col("uid").alias(x), F.col("shingles").alias(f"s_{x}"))
-    out = saved(pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long"), "links")
-    drop_saved(ends, sets)
-    return out
-
-
-def _common(units: DataFrame, rest: DataFrame) -> DataFrame:
-    """(uid, n, common, bits): how many shingles of each class in a table occur in another class of it too, and a bitmap of all.
-
-    No intersection with a class of the table can be larger than ``common``, or than n less the bits that only one of the two has.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for uids, words in batched(batch):
-                x, bounds = shingles_of(words, hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(uids, np.int64), np.diff(bounds))), pa.array(x.view(np.int64))], names=["uid", "shingle"])
-
-    ends = saved(rest.select("uid").distinct(), "ends")
-    rows = join_groups(units, ends, ["uid"], "inner").dropDuplicates(["uid"]).select("uid", "text").mapInArrow(run, "uid long, shingle long")
-    rows = saved(rows, "shingles")
-    bits = [F.coalesce(F.bit_or(F.when(F.expr(f"shiftrightunsigned(shingle, 6) % {BITMAP} = {k}"), F.expr("shiftleft(1L, cast(shingle & 63 AS int))"))), F.lit(0)).alias(f"bits{k}") for k in range(BITMAP)]
-    owned = rows.groupBy("shingle").agg(F.min("uid").alias("uid"), F.max("uid").alias("last")).where("uid = last")
-    own = owned.groupBy("uid").agg(F.count(F.lit(1)).alias("own"))
-    counted = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), *bits).join(own, "uid", "left")
-    out = saved(counted.withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"), "bounds")
-    drop_saved(ends, rows)
+                yield pa.RecordBatch.from_arrays([b["hub"].filter(keep), b["uid"].filter(keep)], names=["hub", "uid"])
+
+    sized = pairs.join(side("uid"), "uid").join(side("hub"), "hub")
+    return sized.select("hub", "uid", "n_hub", "n_uid", "r_hub", "r_uid").mapInArrow(run, "hub long, uid long")
+
+
+def labelled(docs: DataFrame, text: str, sketcher: Sketcher, percent: int = 75, slack: float = 0.15) -> DataFrame:
+    """(doc_id, text_a, text_b, n, component, component_id) of every row: a name for what its set reaches by links, and the least doc_id there."""
+    every = saved(sketched(docs, sketcher, text), "sketches")
+    some = every.where("n > 0 and doc_id is not null")
+    narrow = some.select("row", "doc_id", *SET)
+    # sets that several rows have, and the one row that stands for each
+    copied = saved(narrow.groupBy(*SET).agg(F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("uid"), F.count(F.lit(1)).alias("k")).where("k > 1").select(*SET, "least", "uid"), "copied")
+    others = saved(join_groups(narrow, copied, SET, "inner").where("row <> uid").select("row"), "others")
+    first = join_groups(some, others, ["row"], "left_anti")
+    classes = first.select(F.col("row").alias("uid"), "n", "registers", "buckets")
+    repeats = not narrow.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        named = narrow.withColumnRenamed("row", "uid")
+        return full_sets(docs, saved(named.join(ends, "uid"), "wanted"), text, repeats)
+
+    labels = linked(classes, sets_of, percent, lambda pairs: _likely(pairs, classes, sketcher, percent / 100 - slack))
+    named = labels.join(narrow.select(F.col("row").alias("node"), "doc_id"), "node")
+    names = saved(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "names")
+    of_class = saved(join_groups(labels, names, ["component"], "inner").select(F.col("node").alias("uid"), "component", "component_id"), "class-labels")
+    rows = join_groups(every.select("row", "doc_id", "text_a", "text_b", "n", *SET), copied, SET)
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    rows = rows.select("doc_id", "text_a", "text_b", "n", F.when(linkable, F.coalesce("uid", "row")).alias("uid"), F.when(linkable, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("least"))
+    out = saved(join_groups(rows, of_class, ["uid"]).select("doc_id", "text_a", "text_b", "n", F.coalesce("component", "uid").alias("component"), F.coalesce("component_id", "least").alias("component_id")), "labelled")
+    drop_saved(every, copied, others, labels, names, of_class)
     return out
 
 
-@dataclass
-class Groups:
-    """``units``: (uid, set_key, n) of each unit; ``classes``: (uid, set_key) of each set; ``labels``: (node, component) of linked classes."""
-
-    units: DataFrame
-    classes: DataFrame
-    labels: DataFrame
-
-    def labelled(self) -> DataFrame:
-        """(uid, n, component) of every unit; units without words are alone."""
-        class_of = self.classes.join(self.labels, self.classes["uid"] == self.labels["node"], "left").select("set_key", F.coalesce("component", "uid").alias("component"))
-        return self.units.join(class_of, "set_key", "left").select("uid", "n", F.coalesce("component", "uid").alias("component"))
-
-
-def grouped(units: DataFrame, sketcher: Sketcher, percent: int = 75, slack: float = 0.15) -> Groups:
-    """Groups of units (uid long, text) linked by similar sets; units without uid or words link with nothing."""
-    every = saved(sketched(units, sketcher), "sketches")
-    sets = every.where("n > 0 and uid is not null").groupBy("set_key").agg(F.min("uid").alias("uid"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("buckets").alias("buckets"))
-    classes = saved(sets, "classes")
-    narrow = saved(every.select("uid", "set_key", "n"), "units")
-    drop_saved(every)
-    least = percent / 100 - slack
-    in_bucket = classes.select("uid", F.explode("buckets").alias("bucket"))
-    shared = saved(in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    shares = saved(join_groups(in_bucket, shared, ["bucket"], "inner"), "shares")
-    # the hub of a bucket is the member that shares most: what a group of near copies was copied from
-    central = shares.groupBy("uid").agg(F.sum("members").alias("score"))
-    hubs = shares.join(central, "uid").groupBy("bucket").agg(F.max_by("uid", F.struct("score", -F.col("uid"))).alias("hub"))
-    members = saved(shares.select("bucket", "uid").join(hubs, "bucket"), "members")
-    drop_saved(shares)
-    stars = saved(_estimated(members.where("uid <> hub").select(F.least("hub", "uid").alias("u"), F.greatest("hub", "uid").alias("v")).distinct(), classes, sketcher, least), "pairs")
-    links = _confirmed(stars, units, percent)
-    labels = saved(components(links), "labels")
-    # buckets that still hold several components: their pairs between components
-    placed = members.join(labels, members["uid"] == labels["node"], "left").select("bucket", "uid", "hub", F.coalesce("component", "uid").alias("component"))
-    placed = saved(placed, "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-    rest = saved(placed.join(open_, "bucket", "left_semi").where("uid <> hub"), "open")
-    counts = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    bounded = _common(units, rest)
-    bounds = bounded.where(100 * F.col("common") >= percent * F.col("n"))
-    sides = rest.select("bucket", "uid", "component").join(main, "bucket").join(bounds, "uid")
-    few = sides.where("component <> main").select("bucket", F.col("uid").alias("u"), F.col("component").alias("c"), F.col("n").alias("n_u"), F.col("common").alias("common_u"), *[F.col(f"bits{k}").alias(f"bits{k}_u") for k in range(BITMAP)])
-    # 100 * intersection >= percent * union bounds the intersection from below by the sizes
-    ends_of = [(f"bits{k}", f"bits{k}_u") for k in range(BITMAP)]
-    need = percent * (F.col("n") + F.col("n_u"))
-    only = [reduce(operator.add, [F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) for a, b in pairs]) for pairs in (ends_of, [p[::-1] for p in ends_of])]
-    may = ((100 + percent) * F.least("common", "common_u") >= need) & ((100 + percent) * (F.col("n") - only[0]) >= need) & ((100 + percent) * (F.col("n_u") - only[1]) >= need)
-    apart = (F.col("component") != F.col("c")) & ((F.col("component") == F.col("main")) | (F.col("uid") < F.col("u")))
-    cross = sides.join(few, "bucket").where(apart & may)
-    found = cross.select(F.least("u", "uid").alias("u"), F.greatest("u", "uid").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = saved(_estimated(found, classes, sketcher, least), "pairs")
-    links2 = _confirmed(more, units, percent)
-    final = saved(components(links.unionAll(links2)), "labels")
-    drop_saved(shared, members, stars, labels, placed, rest, bounded, more)
-    return Groups(narrow, classes.select("uid", "set_key"), final)
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", sketcher: Sketcher = Sketcher()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
-
-    Null text is empty and linked with nothing; rows with a null doc_id are kept with a null component; rows
-    that repeat a doc_id get the same component; an empty table gives an empty result.
-    """
-    units = docs.select(F.col("doc_id").cast("long").alias("uid"), F.col(text).alias("text"))
-    out = grouped(units, sketcher).labelled()
-    return out.select(F.col("uid").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.coalesce(F.col("uid") == F.col("component"), F.lit(True))).alias("kept"))
-
-
-def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One document of each group, with the columns the documents came with.
-
-    Rows that repeat a doc_id are copies: one of them stays.  Rows with a null doc_id stay.
-    """
-    found = saved(near_duplicates(docs, text), "kept")
-    gone = saved(found.where("not kept").select("doc_id").distinct(), "gone")
-    twice = saved(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    kept = join_groups(docs, gone, ["doc_id"], "left_anti")
-    if not twice.isEmpty():
-        kept = join_groups(kept, twice, ["doc_id"], "left_anti").unionByName(join_groups(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """(doc_id, n_shingles, component_id, kept) for every row; ``kept``: it has the least doc_id of its component."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return labelled(docs, text, sketcher).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def keep_first(docs: DataFrame, text: str = "text", sketcher: Sketcher = Sketcher()) -> DataFrame:
+    """One row of each component, with the columns the documents came with."""
+    by = ["doc_id", "text_a", "text_b"]
+    found = labelled(docs, text, sketcher).where("n > 0 and doc_id is not null")
+    leads = found.where("doc_id = component_id")
+    # texts of a component that share the least doc_id, and rows that are there twice
+    several = saved(leads.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*by)).alias("one")).where("k > 1").select("component", "one"), "several")
+    beside = join_groups(leads, several, ["component"], "inner").where(F.struct(*by) != F.col("one")).select(*by)
+    gone = saved(found.where("doc_id <> component_id").select(*by).unionByName(beside).distinct(), "gone")
+    key = text_key(F.col(text))
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), key["a"].alias("text_a"), key["b"].alias("text_b"))
+    kept = join_groups(rows, gone, by, "left_anti")
+    if not several.isEmpty():
+        twice = several.select("one.*")
+        kept = join_groups(kept, twice, by, "left_anti").unionByName(join_groups(kept, twice, by, "left_semi").dropDuplicates(by))
+    return kept.select("row.*")
