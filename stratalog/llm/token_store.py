@@ -1,27 +1,32 @@
 """Token ids in binary files, coded by the adaptive range coder.
 
 Documents go to files by ranges of doc_id, in ascending order within and across files.  A file holds its ids as
-blocks of about a million (``range_coder``: each starts afresh and is checksummed) and an index of its documents.
+blocks of about two million (``range_coder``: each starts afresh and is checksummed) and an index of its documents.
 
     "SLTK" version  n_docs  n_blocks  | blocks | deflated index | index bytes, index crc32, "SLTK"
 
 The index has, for each document, a presence flag of the id, the id and its number of tokens.  Each document ends
-with the end id.  Reading checks every checksum.
+with the end id.  Reading checks every checksum.  A task begins another file after ``FILE_IDS`` ids, so what it holds in
+memory doesn't grow with what it was dealt, but with one text at most.
 
-Texts are encoded by the tokenizers library.  Its pre-tokenizer never joins across white space and drops it, so
-words are encoded once each and looked up after that; the test compares with encoding whole texts.
+Texts are encoded by the tokenizers library.  Its pre-tokenizer never joins across white space and drops it, and
+parts punctuation from letters, so words without the marks at their ends are encoded once each and looked up after that,
+by 64-bit hashes of their bytes; the test compares with encoding whole texts.
 
 Defined results: null or empty text is the end id alone; a null doc_id comes first; rows that repeat a doc_id
-are documents of their own, ordered by text; an empty table gives no file and an empty result.
+are documents of their own, ordered by a hash of the text; very long texts are encoded whole; other columns are not
+looked at, whatever their names; an empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +36,20 @@ from pyspark.sql import functions as F
 
 from .common import join_groups, saved, scratch_path
 from .files import write_whole
+from .hashing import EXACT, U, slices, span_hashes, word_spans
 from .range_coder import BLOCK, decode_block, encode_block
 
 HEAD = struct.Struct("<4sIQQ")
 TAIL = struct.Struct("<QI4s")
 MAGIC = b"SLTK"
-FILE_BYTES = 16 << 20
+#: Bytes of text that a task is dealt, ids of a file, and files that a task may begin.
+TASK_BYTES, FILE_IDS, TASK_FILES = 16 << 20, 4 * BLOCK, 1 << 20
+#: Bytes of text that are encoded at once, words after which the store is emptied, and letters that a normaliser has to leave as they are.
+PART, KEPT, LETTERS = 4 << 20, 800_000, "abcdefghijklmnopqrstuvwxyz a z"
+#: Words that are looked up at once; slots of the table, more than twice those and ``KEPT``.
+WORDS, SLOTS, SHIFT = 1 << 20, 1 << 22, U(64 - 22)
+#: Marks that may end a word without being part of its letters.
+ENDS = b".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -45,23 +58,170 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of many runs, one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Growing:
+    """An array that is added to at its end; ``n`` of its values count."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.n = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.empty(self.n + 2 * len(values), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class Numbers:
+    """A table from 64-bit hashes to numbers, for whole arrays at a time: open addressing over ``SLOTS``."""
+
+    def __init__(self) -> None:
+        self.keys, self.values = np.zeros(SLOTS, U), np.zeros(SLOTS, np.int32)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of hashes, -1 for those that aren't there."""
+        slot = (hashes >> SHIFT).astype(np.int64)
+        key = self.keys.take(slot)
+        out = np.where(key == hashes, self.values.take(slot), -1).astype(np.int64)
+        rest = np.flatnonzero((key != hashes) & (key != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
+            key, want = self.keys.take(slot[rest]), hashes[rest]
+            hit = key == want
+            out[rest[hit]] = self.values.take(slot[rest[hit]])
+            rest = rest[~hit & (key != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct hashes that aren't there yet."""
+        slot, rest = (hashes >> SHIFT).astype(np.int64), np.arange(len(hashes))
+        while len(rest):
+            free = rest[self.keys.take(slot[rest]) == 0]
+            self.keys[slot[free]] = hashes[free]  # of several that want a slot one gets it
+            own = free[self.keys.take(slot[free]) == hashes[free]]
+            self.values[slot[own]] = values[own]
+            rest = np.setdiff1d(rest, own, assume_unique=True)
+            slot[rest] = (slot[rest] + 1) & (SLOTS - 1)
+
+
 class Encoder:
-    """Ids of texts, through a cache of words that is emptied when full."""
+    """Ids of texts, through a store of words (by 64-bit hashes of their bytes) that is emptied when full.
+
+    A word's ids are those of its stem, then those of the marks at its end.  New stems of letters alone are
+    encoded many at a time: each of them ends with an id that only ends words, if the vocabulary has
+    such ids.  A copy of the tokenizer without its normaliser does so for lower-case ASCII letters, if that leaves them alone.
+    """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({w for x in words for w in x if w not in self.known})
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, e.ids) for w, e in zip(new, found, strict=True))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, x)), np.uint32) for x in words]
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        given = json.loads(self.tokenizer.to_str())
+        suffix = given["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for x, i in self.tokenizer.get_vocab().items() if suffix and x.endswith(suffix) and i < len(self.ends)]] = True
+        normal = self.tokenizer.normalizer
+        same = normal is not None and normal.normalize_str(LETTERS) == LETTERS
+        self.plain = Tokenizer.from_str(json.dumps(given | {"normalizer": None})) if same else self.tokenizer
+        self.empty()
+
+    def empty(self) -> None:
+        self.table, self.stems = Numbers(), {}
+        self.ids, self.places = Growing(np.uint32), Growing(np.int64)
+        self.places.add(np.zeros(1, np.int64))
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Add words; the number of the first."""
+        first = self.places.n - 1
+        self.places.add(self.ids.n + np.cumsum(sizes))
+        self.ids.add(ids)
+        return first
+
+    def _of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        starts = self.places.data.take(numbers)
+        sizes = self.places.data.take(numbers + 1) - starts
+        return self.ids.data.take(_joined(starts, sizes)), sizes
+
+    def encoded(self, stems: list[bytes], tokenizer: Any = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stems, one after the other, and how many each has; with a tokenizer, stems of letters alone."""
+        texts = [x.decode() for x in stems]
+        if tokenizer and self.ends.any():
+            many = tokenizer.encode_batch_fast([" ".join(texts[i : i + 64]) for i in range(0, len(texts), 64)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in many), np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(stems):
+                return ids, np.diff(last, prepend=-1)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of new words."""
+        stems, lower, letters, rest, parts = self.stems, {}, {}, {}, []
+        for word in words:
+            stem = word.rstrip(ENDS)
+            if stem.isalpha():  # of ASCII letters alone
+                kind, stem, end = lower, stem.lower(), word[len(stem) :]
+            elif not stem.isascii() and (text := stem.decode()).isalpha() and text[-1].lower()[-1].isalpha():
+                kind, end = letters, word[len(stem) :]
+            elif not stem or not stem[-1:].isalnum() or b"<|" in word:  # the marks might not be encoded apart
+                kind, stem, end = rest, word, b""
+            else:
+                kind, end = rest, word[len(stem) :]
+            if stem not in stems:
+                kind[stem] = None
+            if end and end not in stems:
+                rest[end] = None
+            parts += (stem, end)
+        for found, tokenizer in ((lower, self.plain), (letters, self.tokenizer), (rest, None)):
+            if found:
+                first = self._add(*self.encoded(list(found), tokenizer))
+                stems.update(zip(found, range(first, first + len(found)), strict=True))
+        out = np.array([stems[x] if x else -1 for x in parts]).reshape(-1, 2)
+        both = np.flatnonzero(out[:, 1] >= 0)
+        ids, sizes = self._of(out[both].ravel())
+        first = self._add(ids, sizes.reshape(-1, 2).sum(axis=1))
+        out[both, 0] = np.arange(first, first + len(both))
+        return out[:, 0]
+
+    def _words(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        if self.places.n > KEPT:
+            self.empty()
+        hashes = span_hashes(data, begins, ends, EXACT) | U(1)
+        number = self.table.get(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            names, at, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at = new[at]
+            found = self.numbers([data[i:j].tobytes() for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            self.table.add(names, found)
+            number[new] = found[which]
+        return self._of(number)
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has."""
+        begins, ends = word_spans(data, bounds)
+        parts = [self._words(data, begins[i : i + WORDS], ends[i : i + WORDS]) for i in range(0, max(1, len(begins)), WORDS)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begins, bounds)]
+        return np.insert(ids, upto[1:], np.uint32(self.end_id)), np.diff(upto) + 1
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One for all tasks of a Python worker."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def file_of(ids: list[np.ndarray], names: list[int | None]) -> bytes:
@@ -92,25 +252,36 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield (int(name) if present else None), np.concatenate(parts)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", task_bytes: int = TASK_BYTES, file_ids: int = FILE_IDS, part: int = PART) -> DataFrame:
     """Write the files; returns (file, docs, tokens, bytes) of each."""
+    schema = pa.schema([("file", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids, names, end = Encoder(tokenizer), [], [], np.array([end_id], np.uint32)
+        encode, task, names, ids, held, files = encoder(tokenizer, end_id), TaskContext.get().partitionId(), [], [], 0, 0
+
+        def written() -> pa.RecordBatch:
+            nonlocal names, ids, held, files
+            file, data = task * TASK_FILES + files, file_of(ids, names)
+            write_whole(f"{folder}/part-{file:019d}.tok", data)
+            out = pa.RecordBatch.from_pydict({"file": [file], "docs": [len(names)], "tokens": [held], "bytes": [len(data)]}, schema)
+            names, ids, held, files = [], [], 0, files + 1
+            return out
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
-                names += b["doc_id"].to_pylist()
-                ids += [np.concatenate([x, end]) for x in encoder([t.as_py() or "" for t in b["text"]])]
+            for i, j, data, bounds in slices(batch["text"], part):
+                found, sizes = encode(data, bounds)
+                names += batch["doc_id"].slice(i, j - i).to_pylist()
+                ids += np.split(found, np.cumsum(sizes)[:-1])
+                held += len(found)
+                if held >= file_ids:
+                    yield written()
         if names:
-            file = TaskContext.get().partitionId()
-            data = file_of(ids, names)
-            write_whole(f"{folder}/part-{file:07d}.tok", data)
-            yield pa.RecordBatch.from_pydict({"file": [file], "docs": [len(names)], "tokens": [sum(map(len, ids))], "bytes": [len(data)]}, pa.schema([("file", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+            yield written()
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tid"))
     size = given.agg(F.sum(F.octet_length("text") + F.lit(8))).first()[0] or 0
-    ordered = given.repartitionByRange(max(1, -(-size // file_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    by = ["doc_id", "tid"]
+    ordered = given.repartitionByRange(max(1, -(-size // task_bytes)), *by).sortWithinPartitions(*by).select("doc_id", "text")
     return saved(ordered.mapInArrow(run, "file long, docs long, tokens long, bytes long"), "token-files")
 
 
