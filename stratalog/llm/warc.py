@@ -10,8 +10,9 @@ is a response, the others are revisits that refer to it.
 The dictionary is trained on at most ``SAMPLE`` payloads (of up to ``SAMPLE_BYTES`` each), chosen by a hash.
 
 Defined results: null html is an empty payload; a null url has no target header; a null page_id is written and
-read as null, and its record is a response; rows that repeat the least page_id are responses too; an empty
-table gives an empty result.
+read as null, and its record is a response; rows that repeat the least page_id are responses too; a payload of any length
+is one record, and a task holds one archive of ``FILE_BYTES`` and one record in memory; other columns are not
+looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ SKIPPABLE = 0x184D2A5D
 FRAME = struct.pack("<I", zstandard.MAGIC_NUMBER)
 MIN_PAYLOAD = 100
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 500, 1 << 15, 1 << 16
-FILE_BYTES, STEP = 16 << 20, 1 << 13
+#: Bytes of payloads that a task is dealt, bytes of an archive, archives that a task may begin, and bytes read at once.
+TASK_BYTES, FILE_BYTES, TASK_FILES, STEP = 16 << 20, 16 << 20, 1 << 20, 1 << 13
+#: Parts that equal rows are dealt to.
+SALTS = 64
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
@@ -123,34 +127,57 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): which records revisit which."""
+    """(page_id, url, html, digest, salt, refers_to): which records revisit which."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"), F.octet_length(payload).alias("size"))
+    # dealt in the order of the scan, which a repeated task keeps
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).alias("salt")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", salt, payload.alias("html"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("digest"), F.octet_length(payload).alias("size"))
     firsts = saved(rows.where(F.col("size") >= MIN_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first"), "payloads")
     joined = join_groups(rows, firsts, ["digest"])
-    return joined.select("page_id", "url", "html", "digest", F.when((F.col("size") >= MIN_PAYLOAD) & (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "digest", "salt", F.when((F.col("size") >= MIN_PAYLOAD) & (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+def samples(pages: DataFrame) -> list[bytes]:
+    """At most ``SAMPLE`` different payloads: those with the least hashes, of which only the hashes are looked for first."""
+    few = pages.where(F.octet_length("html").between(1, SAMPLE_BYTES)).select("html", F.pmod(F.xxhash64("html"), F.lit(1 << 62)).alias("h"))
+    n = few.agg(F.approx_count_distinct("h")).first()[0]
+    likely = few.where(F.col("h") < int(min(1.0, 2 * SAMPLE / max(n, 1)) * (1 << 62)))
+    least = sorted(r["h"] for r in likely.select("h").distinct().orderBy("h").limit(SAMPLE).collect())
+    if not least:
+        return []
+    chosen = likely.where(F.col("h") <= least[-1]).groupBy("h").agg(F.first("html").alias("html"))  # rows of one hash are equal
+    return [r["html"].encode() for r in chosen.orderBy("h").collect()]
+
+
+def write_archives(pages: DataFrame, folder: str, task_bytes: int = TASK_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write archives; returns (file, records, bytes) of each."""
-    few = pages.where(F.octet_length("html") <= SAMPLE_BYTES).select("html", F.xxhash64("page_id").alias("h")).orderBy("h").limit(SAMPLE)
-    dictionary = train_dictionary([r[0].encode() for r in few.select("html").collect()])
+    dictionary = train_dictionary(samples(pages))
+    schema = pa.schema([("file", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frames, n = [leading_frame(dictionary)], 0
+        task, frames, held, files = TaskContext.get().partitionId(), [], 0, 0
         writer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
+
+        def written() -> pa.RecordBatch:
+            nonlocal frames, held, files
+            file, data = task * TASK_FILES + files, b"".join([leading_frame(dictionary), *frames])
+            write_whole(f"{folder}/part-{file:019d}.warc.zst", data)
+            out = pa.RecordBatch.from_pydict({"file": [file], "records": [len(frames)], "bytes": [len(data)]}, schema)
+            frames, held, files = [], 0, files + 1
+            return out
+
         for batch in batches:
             for row in zip(*(batch[c] for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 page_id, url, html, digest, refers_to = (x.as_py() for x in row)
                 frames.append(writer.compress(record_bytes(page_id, url, html.encode(), digest, refers_to)))
-                n += 1
-        if n:
-            file, data = TaskContext.get().partitionId(), b"".join(frames)
-            write_whole(f"{folder}/part-{file:07d}.warc.zst", data)
-            yield pa.RecordBatch.from_pydict({"file": [file], "records": [n], "bytes": [len(data)]}, pa.schema([("file", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64())]))
+                held += len(frames[-1])
+                if held >= file_bytes:
+                    yield written()
+        if frames:
+            yield written()
 
     size = pages.agg(F.sum(F.octet_length("html") + F.lit(512))).first()[0] or 0
-    dealt = planned(pages).repartition(max(1, -(-size // file_bytes)), "page_id", "url")
+    dealt = planned(pages).repartition(max(1, -(-size // task_bytes)), "page_id", "salt")
     return saved(dealt.mapInArrow(run, "file long, records long, bytes long"), "archives")
 
 
