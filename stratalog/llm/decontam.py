@@ -3,18 +3,21 @@
 Texts become sequences of canonical tokens: numbers, units after numbers, and names (capitalised words within
 a sentence) become typed placeholders, other words lower case.  Windows of ``WINDOW`` tokens of benchmark items
 and of documents meet in a hash join, so a question asked again with other numbers or names still meets
-its original.  Where windows have placeholders, their fillers are compared along the alignment: one value of
-the item must stand for one value of the document throughout, else windows with that value don't count, unless
-all fillers of a window are the item's own.
+its original.  Where windows have placeholders, their fillers are compared along the alignment, insertions of up to a
+window's length included: one value of the item must stand for one value of the document throughout, and a name of the
+document for one name of the item, else windows with that value don't count, unless all fillers of a window are the item's own.
 
 An item's windows are indexed twice: with names as placeholders and as words, for documents in one case
 throughout.  A window with fewer than ``MIN_WORDS`` words besides placeholders, or an item shorter than a window as a
-whole, is indexed by its raw tokens in lower case instead, and only meets the very same ones.  A document holds an item if the windows that match hold ``MIN_SHARE`` of the item's tokens, and ``WINDOW`` of its words or all it has (fillers
+whole, is indexed by its raw tokens in lower case instead, and only meets the very same ones.  A bitmap of all indexed
+hashes, of fixed size, lets hardly any other window of a document become a row, however large the index is.  A document holds an item if the windows that match hold ``MIN_SHARE`` of the item's tokens, and ``WINDOW`` of its words or all it has (fillers
 count as words where they are equal), or if ``MIN_RUN`` windows match.
 
 Defined results: null or empty text holds nothing; items without tokens are not searched; items with fewer tokens than a
-window, even a single one, are held by each text that has all of them in a row; items with equal windows are all reported; copies of a text get equal rows;
-without items every document is clean; an empty table gives an empty result.
+window, even a single one, are held by each text that has all of them in a row; items with equal windows (ties) are all
+reported; copies of a text get equal rows, repeated rows one each; an item_id that repeats has the windows of all its texts;
+texts of any length are searched whole; other columns pass through, whatever their names; without items every document
+is clean; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ WINDOW = 8
 MIN_WORDS = 5
 MIN_SHARE = 0.5
 MIN_RUN = 20
+#: 64-bit words of the bitmap of the index.
+BITMAP = 1 << 16
 #: Marks names in a text; a control character that is no part of any token.
 MARK = "\x01"
 NAME = r"(?<=[\p{Ll},;:] )\p{Lu}[\p{L}\p{M}]*"
@@ -81,8 +86,23 @@ def plain_tokens(raw: str) -> Column:
     return F.transform(F.col(raw), lambda x: F.lower(F.ltrim(x, F.lit(MARK))))
 
 
-def _window_rows(rows: DataFrame, keep: list[str], raw_sizes: list[int] | None = None) -> DataFrame:
-    """A row (*keep, pos, h) for each window of the column ``canon``, and for those of ``raw`` of the sizes given.
+def _word(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 6).bitwiseAND(BITMAP - 1)
+
+
+def bitmap(hashes: DataFrame) -> Column:
+    """A bit for each hash h of a table, as a literal array of 64-bit words; ``BITMAP`` words at most reach the driver."""
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int")))
+    words = dict(hashes.groupBy(_word(F.col("h"))).agg(bits).collect())
+    return F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(BITMAP))), ",").cast("array<bigint>")
+
+
+def _maybe(bits: Column, h: Column) -> Column:
+    return F.call_function("shiftright", F.get(bits, _word(h).cast("int")), h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
+def _window_rows(rows: DataFrame, keep: list[str], raw_sizes: list[int] | None = None, bits: Column | None = None) -> DataFrame:
+    """A row (*keep, pos, h) for each window of the column ``canon``, and for those of ``raw`` of the sizes given, that the bitmap lets pass.
 
     The outer form of the generator, since for the inner one Spark repeats its input in a filter further down.
     """
@@ -91,6 +111,7 @@ def _window_rows(rows: DataFrame, keep: list[str], raw_sizes: list[int] | None =
     more = [F.transform(plain_tokens("raw"), lambda x: F.xxhash64(x)).alias("raw_hashes")] if sizes else []
     hashed = rows.select(*keep, F.transform("canon", lambda x: F.xxhash64(x)).alias("hashes"), *more)
     both = F.concat(placed(windows("hashes")), *[placed(raw_windows("raw_hashes", k)) for k in sizes])
+    both = F.filter(both, lambda w: _maybe(bits, w["h"])) if bits is not None else both
     return hashed.select(*keep, both.alias("w")).select(*keep, F.explode_outer("w").alias("w")).where("w is not null").select(*keep, "w.pos", "w.h")
 
 
@@ -130,7 +151,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     sizes = sorted(r["size"] for r in known.where("size is not null").select("size").distinct().collect())
     texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
     canon = texts.select("key", tokens(F.col("t")).alias("raw")).select("key", "raw", canonical("raw").alias("canon"))
-    hits = saved(_window_rows(canon, ["key"], sizes).join(hint(known.select("h").distinct()), "h", "left_semi").distinct(), "bench-hits")
+    hits = saved(_window_rows(canon, ["key"], sizes, bitmap(known.select("h"))).join(hint(known.select("h").distinct()), "h", "left_semi").distinct(), "bench-hits")
     met = hits.join(hint(known), "h").select("key", "item_id", "n", "ipos", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), "slots")
     plain = met.where(F.size("slots") == 0).select("key", "item_id", "n", "ipos", F.lit(0).alias("reset"))
     # fillers: only for texts with a matched window that has some
@@ -138,9 +159,15 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     wanted = saved(filled.select("key").distinct(), "bench-filled")
     some = join_groups(texts.select("key", "t"), wanted, ["key"], "inner").groupBy("key").agg(F.first("t").alias("t")).select("key", tokens(F.col("t")).alias("raw"))
     pairs = filled.join(some, "key").select("key", "item_id", "n", "ipos", "shift", F.explode_outer("slots").alias("slot"), "raw", "pos")
-    pairs = pairs.select("key", "item_id", "n", "ipos", "shift", F.col("slot.value").alias("value"), F.lower(F.ltrim(F.get("raw", F.col("pos") + F.col("slot.off")), F.lit(MARK))).alias("filler"))
-    along = Window.partitionBy("key", "item_id", "shift", "value")
-    judged = pairs.select("*", (F.min("filler").over(along) == F.max("filler").over(along)).alias("one"), (F.substr("value", F.lit(2)) == F.col("filler")).alias("equal"))
+    # windows along one alignment: shifts with no gap of over a window's length between them
+    by_shift = Window.partitionBy("key", "item_id").orderBy("shift")
+    apart = F.when(F.col("shift") - F.lag("shift").over(by_shift) <= WINDOW, 0).otherwise(1)
+    runs = filled.select("key", "item_id", "shift").distinct().withColumn("apart", apart).select("key", "item_id", "shift", F.sum("apart").over(by_shift).alias("run"))
+    pairs = pairs.join(runs, ["key", "item_id", "shift"])
+    pairs = pairs.select("key", "item_id", "n", "ipos", "shift", "run", F.col("slot.value").alias("value"), F.lower(F.ltrim(F.get("raw", F.col("pos") + F.col("slot.off")), F.lit(MARK))).alias("filler"))
+    along, back = Window.partitionBy("key", "item_id", "run", "value"), Window.partitionBy("key", "item_id", "run", "filler", F.col("value").startswith("@"))
+    one = (F.min("filler").over(along) == F.max("filler").over(along)) & (~F.col("value").startswith("@") | (F.min("value").over(back) == F.max("value").over(back)))
+    judged = pairs.select("*", one.alias("one"), (F.substr("value", F.lit(2)) == F.col("filler")).alias("equal"))
     by_window = judged.groupBy("key", "item_id", "n", "ipos", "shift").agg(F.min("one").alias("one"), F.min("equal").alias("equal"))
     refilled = by_window.where("one or equal").select("key", "item_id", "n", "ipos", F.when(F.col("equal"), 0).otherwise(1).alias("reset"))
     by_item = plain.unionAll(refilled).groupBy("key", "item_id", "n", "ipos").agg(F.min("reset").alias("reset"))
@@ -156,7 +183,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, n_reset) for each document and item it holds."""
     held = saved(matches(docs, items, text), "bench-held")
-    named = packed(docs, column_or_null(docs, "doc_id", "long").alias("doc_id"), text_key(F.col(text)).alias("key")).select("doc_id", "key")
+    named = packed(docs.where(F.col(text) != ""), column_or_null(docs, "doc_id", "long").alias("doc_id"), text_key(F.col(text)).alias("key")).select("doc_id", "key")
     return join_groups(named, held, ["key"], "inner").drop("key")
 
 
