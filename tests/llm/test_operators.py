@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat, decontam, mixing, quality, range_coder, secrets, setsketch, sharding, substring_dedup, token_store, warc
+from stratalog.llm import chat, common, decontam, hashing, mixing, quality, range_coder, secrets, setsketch, sharding, substring_dedup, token_store, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int"
 WORDS = [a + b for a in "bcdfglmnprst" for b in ("an", "el", "ion", "ost", "ure", "ay")]
@@ -80,7 +81,7 @@ def test_near_duplicates(docs, empty, rows):
     kept = setsketch.keep_first(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert 1 not in ids and 6 not in ids and ids.count(41) == 1 and None in ids
+    assert 1 not in ids and 6 not in ids and ids.count(41) == 2 and None in ids  # two texts share the id 41
     assert setsketch.near_duplicates(empty).count() == 0
 
 
@@ -170,7 +171,8 @@ def test_decontamination(spark, docs, empty):
     held = spark.createDataFrame([(1, prose(5, 50) + ". " + item), (2, again), (3, item.upper()), (4, prose(6, 80)), (5, None), (6, mixed)], "doc_id long, text string")
     items = spark.createDataFrame([(9, item), (10, "too short"), (11, None)], "item_id long, text string")
     found = {r.doc_id for r in decontam.contaminated(held, items).collect()}
-    assert {1, 2, 3} <= found and not found & {4, 5}
+    # 6 is word for word but for one name; it counts by its equal windows alone
+    assert found == {1, 2, 3, 6}
     assert decontam.keep_clean(docs, items).count() == docs.count()
     assert decontam.keep_clean(docs, items.limit(0)).columns == docs.columns
     assert decontam.contaminated(empty, items).count() == 0
@@ -208,11 +210,31 @@ def test_decontamination_fillers(spark):
 
 
 
+def test_decontamination_slots(spark):
+    item = "whenever Alice meets Bruno at noon , Alice gives Bruno all of the ripe figs , and Clara counts how many figs Bruno and Alice have"
+    docs = [(1, item.replace("Alice", "Wilma").replace("Bruno", "Xaver").replace("Clara", "Yanna")), (2, item.replace("Alice", "Wilma").replace("Bruno", "Wilma").replace("Clara", "Wilma")), (3, item.replace("noon ,", "noon on one fine day in June ,").replace("Alice", "Wilma"))]
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r.doc_id: r.n_matched for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    # 2 has one name for three; 3 has words inserted, and one new name throughout
+    assert {1, 3} <= set(got) and got[1] > got.get(2, 0)
+
+
+def test_decontamination_beyond_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    item = prose(31, 30)
+    docs = spark.createDataFrame([(1, prose(32, 50) + " " + item), (2, prose(33, 60)), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, prose(100 + i, 30)) for i in range(20)] + [(31, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_windows, r.n_matched) for r in decontam.contaminated(docs, items).collect()] == [(1, 31, 23, 23)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 255, 257, 5000])
 def test_range_coder(n):
-    ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 49407).astype(np.uint32)
-    data = range_coder.encode_block(ids)
-    assert (range_coder.decode_block(memoryview(data))[0] == ids).all()
+    r = np.random.default_rng(n)
+    # a vocabulary as usual, one beyond 2^19, all of 32 bits, one id only, and a text that repeats
+    for ids in (np.minimum(r.zipf(1.3, n), 49407), r.integers(0, 1 << 20, n), r.integers(0, 1 << 32, n), np.full(n, (1 << 32) - 1), np.arange(n) % 97):
+        ids = ids.astype(np.uint32)
+        data = range_coder.encode_block(ids)
+        assert (range_coder.decode_block(memoryview(data))[0] == ids).all()
     with pytest.raises(ValueError):
         range_coder.decode_block(memoryview(data[:-1] + bytes([data[-1] ^ 1])))
 
@@ -230,6 +252,35 @@ def test_token_files(docs, empty, rows):
     assert token_store.round_trip(empty).count() == 0
 
 
+def test_words_as_whole_texts():
+    r = random.Random(5)
+    marks = ["a", "B", "é", "İ", "Σ", "'s", "'LL", "don't", "1", "2.", "...", "<|endoftext|>", "<|ENDOFTEXT|>", "\x01", "́", "🙂", "!?", "中", "ﬁ", " ", "K", "_", " ", "\t", "x,", "\x00", "\"", ";"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randrange(30))) for _ in range(1500)] + ["", "   ", "a" * 5000]
+    encode = token_store.Encoder(token_store.default_tokenizer(), 1)
+    parts = [encode(data, bounds) for _, _, data, bounds in hashing.slices(pa.array(texts), 1000)]
+    ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    for t, x in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert x.tolist() == [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_tasks_begin_files(spark, rows):
+    docs = spark.createDataFrame([(None if i % 3 else i, t) for i, (_, t, *_) in enumerate(rows * 3)], "doc_id long, text string")
+    folder = common.scratch_path(spark, "tokens")
+    files = token_store.write_tokens(docs, folder, token_store.default_tokenizer(), 1, file_ids=2000, part=4000)
+    back = token_store.read_tokens(spark, folder).collect()
+    assert files.count() > 5 and len(back) == docs.count() and files.agg(F.sum("tokens")).first()[0] == sum(r.n_tokens for r in back)
+    ids = [r.doc_id for r in sorted(back, key=lambda r: (r.file, r.place))]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_warc_files(spark):
+    pages = spark.createDataFrame([(i % 7 or None, "u", f"<p>{prose(i % 5, 100)}") for i in range(200)], "page_id long, url string, html string")
+    folder = common.scratch_path(spark, "warc")
+    files = warc.write_archives(pages, folder, file_bytes=2000)
+    assert files.count() > 5 and warc.read_archives(spark, folder).count() == 200
+    assert 0 < len(warc.samples(pages)) <= 5
+
+
 def test_warc(spark):
     big = "<p>" + "ü" * 200
     pages = [(1, "http://a", big), (2, "http://b\n", big), (3, None, None), (4, "x", "tiny"), (5, "x", "tiny"), (None, "n", big)]
