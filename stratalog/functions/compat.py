@@ -44,8 +44,8 @@ def quote(x: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), x, F.lit("'")), F.lit("NULL"))
 
 
-def glob(x: Column, pattern: str) -> Column:
-    """GLOB: ``*``, ``?`` and ``[chars]`` (a plain list of characters), case-sensitive, over the whole text."""
+def glob_pattern(pattern: str) -> str:
+    """GLOB as a regular expression: ``*``, ``?`` and ``[chars]`` (a plain list of characters), over the whole text."""
     out, i = [], 0
     while i < len(pattern):
         c, end = pattern[i], pattern.find("]", i + 1)
@@ -59,7 +59,12 @@ def glob(x: Column, pattern: str) -> Column:
         else:
             out.append(re.escape(c))
         i += 1
-    return x.rlike("(?s)^" + "".join(out) + r"\z")
+    return "(?s)^" + "".join(out) + r"\z"
+
+
+def glob(x: Column, pattern: str) -> Column:
+    """Whether a text matches a GLOB pattern, case-sensitively."""
+    return x.rlike(glob_pattern(pattern))
 
 
 def sqlite_cmp(left: Column, op: str, right: Column) -> Column:

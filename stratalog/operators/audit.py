@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +14,44 @@ def digest(x: Column) -> Column:
     return F.sha2(x.cast("string"), 256)
 
 
-def chain_errors(entries: DataFrame, batches: int | None = None) -> DataFrame:
+#: Entries of a chain that one task looks at together.
+BLOCK = 4096
+
+
+def _blocks(entries: DataFrame) -> DataFrame:
+    """Entries by blocks of their sequence, each block with its predecessor's last entries too (``own`` false)."""
+    block = F.floor(F.col("sequence") / BLOCK)
+    seen_by = F.when(F.col("sequence") % BLOCK == BLOCK - 1, F.array(block, block + 1)).otherwise(F.array(block))
+    return entries.select("*", block.alias("_own"), F.explode(seen_by).alias("_block")).withColumn("own", F.col("_own") == F.col("_block"))
+
+
+def chain_errors(entries: DataFrame) -> DataFrame:
     """(sequence, error) for each violation in a chain (sequence, prev_hash, hash, body).
 
-    The position in the chain comes from the sequence itself, so only the entry before is needed: a join of
-    each entry with its predecessor's number, not one window over the whole chain.
+    The position in the chain comes from the sequence itself, so blocks of it are looked at apart, after one shuffle.
     """
-    before = entries.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("_before"))
-    counts = entries.groupBy("sequence").count().where("count > 1").select("sequence", F.lit("sequence repeats").alias("error"))
-    joined = entries.join(before, "sequence", "left")
+    in_order = Window.partitionBy("_block").orderBy("sequence")
+    of_before = in_order.rangeBetween(-1, -1)
+    seen = _blocks(entries).select(
+        "sequence", "prev_hash", "hash", "body", "own", F.first("hash").over(of_before).alias("_before"), F.count(F.lit(1)).over(of_before).alias("_n_before"),
+        F.count(F.lit(1)).over(in_order.rangeBetween(0, 0)).alias("_n"), F.lag("sequence").over(in_order).alias("_last"),
+    ).where("own")
     checks = [
         (F.col("sequence") < 1, "sequence below 1"),
-        ((F.col("sequence") > 1) & F.col("_before").isNull(), "gap before"),
-        (F.col("_before").isNotNull() & ~F.col("prev_hash").eqNullSafe(F.col("_before")), "previous hash differs"),
+        ((F.col("sequence") > 1) & (F.col("_n_before") == 0), "gap before"),
+        ((F.col("_n_before") > 0) & ~F.col("prev_hash").eqNullSafe(F.col("_before")), "previous hash differs"),
         (digest(F.col("body")) != F.col("hash"), "body hash differs"),
+        ((F.col("_n") > 1) & ~F.col("_last").eqNullSafe(F.col("sequence")), "sequence repeats"),
     ]
     found = F.filter(F.array(*[F.when(test, F.lit(text)) for test, text in checks]), lambda x: x.isNotNull())
-    return joined.select("sequence", F.explode_outer(found).alias("error")).where("error is not null").unionAll(counts)
+    return seen.select("sequence", F.explode_outer(found).alias("error")).where("error is not null")
+
+
+def chained(entries: DataFrame) -> DataFrame:
+    """Entries (sequence, body) with hash and prev_hash (null for the first of them)."""
+    hashed = _blocks(entries.withColumn("hash", digest(F.col("body"))))
+    before = F.first("hash").over(Window.partitionBy("_block").orderBy("sequence").rangeBetween(-1, -1))
+    return hashed.withColumn("prev_hash", before).where("own").drop("own", "_own", "_block")
 
 
 def merkle_level(nodes: DataFrame) -> DataFrame:
@@ -44,11 +63,15 @@ def merkle_level(nodes: DataFrame) -> DataFrame:
 
 
 def merkle_roots(leaves: DataFrame, most: int = BATCH) -> DataFrame:
-    """(batch, root) of leaves (batch, place, h), with ``most`` leaves in a batch at most."""
-    sizes = leaves.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
-    level = leaves.join(sizes, "batch").select("batch", F.col("place").cast("bigint").alias("place"), F.sha2(F.concat(F.lit(LEAF), F.col("h")), 256).alias("x"), "size")
-    level = reduce(lambda t, _: merkle_level(t), range((most - 1).bit_length()), level)
-    return level.select("batch", F.col("x").alias("root"))
+    """(batch, root) of leaves (batch, place, h), with ``most`` leaves in a batch at most; one shuffle for all levels."""
+    in_batch = leaves.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place", "h"))).alias("leaves"))
+    level = in_batch.select("batch", F.transform("leaves", lambda e: F.sha2(F.concat(F.lit(LEAF), e["h"]), 256)).alias("x"))
+    at = lambda i: F.get(F.col("x"), i.cast("int"))
+    node = lambda i: F.sha2(F.concat(F.lit(NODE), at(2 * i), F.coalesce(at(2 * i + 1), at(2 * i))), 256)
+    for _ in range((most - 1).bit_length()):  # a batch that is down to one node has its root
+        up = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 2).cast("int")), node)
+        level = level.select("batch", F.when(F.size("x") > 1, up).otherwise(F.col("x")).alias("x"))
+    return level.select("batch", F.element_at("x", 1).alias("root"))
 
 
 def merkle_proofs(leaves: DataFrame, most: int = BATCH) -> DataFrame:

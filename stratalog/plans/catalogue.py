@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compat
-from ..operators import audit, changelog
-from ..sources.tables import sql, table
+from ..operators import audit, changelog, oplog, report
+from ..sources.tables import scratch, sql, table
+from . import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +48,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "kleene_and": f"{ORDERS} WHERE NOT (nullif(o_orderstatus,'P') = 'F' AND o_totalprice > 150000)",
     "not_paren": f"{ORDERS} WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 50000)",
     "ne": f"{ORDERS} WHERE o_orderstatus <> 'O' AND o_custkey != 7",
-    "empty_in": (f"{ORDERS} WHERE false", f"{ORDERS} WHERE o_orderkey IN (SELECT o_orderkey FROM {{orders}} WHERE false)"),
     # expressions
     "arith": "SELECT l_orderkey, l_linenumber, l_extendedprice*(1-l_discount)*(1+l_tax) - 1 AS x FROM {lineitem}",
     "div_zero_null": ("SELECT l_orderkey, l_linenumber, round(try_divide(l_extendedprice, l_linenumber - 1), 6) AS x FROM {lineitem}", "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_linenumber - 1, 0), 6) AS x FROM {lineitem}"),
@@ -109,16 +109,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "cte_chain": "WITH a AS (SELECT * FROM {orders} WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey, count(*) AS n FROM a GROUP BY o_custkey) SELECT b.o_custkey, n FROM b WHERE n > 5",
     "cte_recursive": ("WITH RECURSIVE t(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT n + 1 FROM t WHERE n < 32) SELECT n FROM t", "WITH RECURSIVE t(n) AS (SELECT CAST(1 AS BIGINT) UNION ALL SELECT n + 1 FROM t WHERE n < 32) SELECT n FROM t"),
     "view_filter": "WITH v AS (SELECT c_custkey, c_name FROM {customer} WHERE c_mktsegment = 'BUILDING') SELECT c_name FROM v WHERE c_custkey < 500",
-    # conflicts of transactions over the events: transaction t reads at lsn 500 what others wrote later
-    "occ_conflicts": "WITH r AS (SELECT user_id, max(event_id + 1) AS base FROM {events} WHERE event_id < 500 GROUP BY user_id), h AS (SELECT user_id, max(event_id + 1) AS head FROM {events} GROUP BY user_id) SELECT r.user_id, base, head FROM r JOIN h ON r.user_id = h.user_id WHERE base <> head",
-    "phantom_conflicts": "WITH ticket AS (SELECT o_orderkey AS id, o_custkey AS lo, o_custkey + 3 AS hi FROM {orders} WHERE o_orderkey < 60), fresh AS (SELECT c_custkey AS k FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P')) SELECT id, k FROM ticket JOIN fresh ON k BETWEEN lo AND hi",
-    # results of changes, as the tables they leave
-    "upsert_result": "SELECT k, max(v) AS v FROM (SELECT c_custkey AS k, CASE WHEN o.o_custkey IS NULL THEN 'old' ELSE 'zz-new' END AS v FROM {customer} LEFT JOIN (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'P') o ON c_custkey = o.o_custkey) t GROUP BY k",
-    "or_ignore_result": "SELECT c_custkey AS k, 'kept' AS v FROM {customer} UNION ALL SELECT k, 'added' FROM (SELECT DISTINCT o_custkey + 100 AS k FROM {orders}) n WHERE k NOT IN (SELECT c_custkey FROM {customer})",
-    "update_result": "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM {customer}",
-    "delete_result": "SELECT c_custkey FROM {customer} WHERE NOT (c_acctbal < 0)",
-    "insert_select_result": "SELECT c_custkey, c_name FROM {customer} UNION ALL SELECT s_suppkey + 1000000, s_name FROM {supplier} WHERE s_acctbal > 0",
-    "check_violations": "SELECT c_custkey FROM {customer} WHERE (c_acctbal > 0) IS NOT TRUE",
 }
 
 #: The events as a change log.
@@ -163,13 +153,32 @@ def _contract(spark: SparkSession, folder: str) -> DataFrame:
 
 def _chain(spark: SparkSession, folder: str, tamper: bool) -> DataFrame:
     rows = table(spark, folder, "events").select((F.col("event_id") + 1).alias("sequence"), F.col("props").alias("body"))
-    before = rows.select((F.col("sequence") + 1).alias("sequence"), audit.digest(F.col("body")).alias("prev_hash"))
-    chain = rows.withColumn("hash", audit.digest(F.col("body"))).join(before, "sequence", "left")
+    chain = audit.chained(rows)
     if tamper:
         chain = chain.withColumn("body", F.when(F.col("sequence") % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
     return chain
 
 
+def _tampered(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches whose leaves, some of them altered, no longer lead to the root that was kept."""
+    leaves = _leaves(table(spark, folder, "events"))
+    altered = leaves.withColumn("h", F.when((F.col("batch") * 8 + F.col("place")) % 97 == 0, F.sha2(F.col("h"), 256)).otherwise(F.col("h")))
+    proven = audit.inclusion(altered, audit.merkle_roots(leaves))
+    return proven.groupBy("batch").agg(F.max("ok").alias("some"), F.min("ok").alias("every"))
+
+
+def _expected(spark: SparkSession, folder: str) -> DataFrame:
+    """What an operation log of the events promises, with everything in the first half durable."""
+    ops = oplog.OpLog(spark, scratch(spark, "oplog"))
+    entries = log(spark, folder)
+    op = F.when(F.col("deleted"), "delete").otherwise("put").alias("op")
+    key = F.concat_ws(":", F.col("user_id") % 10, "user_id").alias("key")
+    ops.append(entries.select(op, key, F.col("lsn").cast("string").alias("value"), "lsn", "durable", F.lit("group").alias("tier"), F.lit(0).alias("ts_unix")))
+    ops.mark_durable(entries.agg(F.max("lsn")).first()[0] // 2)
+    expected, _ = oplog.expectations(ops.read())
+    return oplog.known_tables(expected, table(spark, folder, "region").select(F.col("r_regionkey").alias("id")))
+
+
 COMPAT: dict[str, tuple[Query, str]] = {
     "glob_set": (
         lambda s, d: table(s, d, "nation").where(compat.glob(F.col("n_name"), "[ABCDEFGHIJKLMN]*")).select("n_nationkey", "n_name"),
@@ -243,6 +252,23 @@ COMPAT: dict[str, tuple[Query, str]] = {
         _inclusion,
         'SELECT event_id AS "first", true AS ok FROM {events} WHERE event_id % 8 = 0',
     ),
+    "merkle_tampered": (_tampered, "SELECT event_id // 8 AS batch, count(*) FILTER (WHERE event_id % 97 = 0) = 0 AS some, count(*) FILTER (WHERE event_id % 97 = 0) = 0 AS every FROM {events} GROUP BY 1"),
+    "oplog_expectations": (
+        _expected,
+        "SELECT CAST(user_id % 10 AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS key, sha256(CAST(lsn AS VARCHAR)) AS value_sha256, durable OR lsn <= (SELECT max(event_id + 1) // 2 FROM {events}) AS durable FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS rn FROM ({log}) l) t WHERE rn = 1 AND NOT deleted AND user_id % 10 IN (SELECT r_regionkey FROM {region})",
+    ),
+    "physical_attestation": (
+        lambda s, d: report.physical(log(s, d).withColumn("key", F.col("user_id")), F.col("user_id") % 4).drop("digest"),
+        "SELECT user_id % 4 AS shard, count(*) AS entries, count(DISTINCT user_id) AS keys, max(lsn) AS max_lsn, max(lsn) FILTER (WHERE durable) AS data_lsn, count(*) FILTER (WHERE NOT durable) AS tail, true AS ordered FROM ({log}) l GROUP BY 1",
+    ),
+    "statistics": (
+        lambda s, d: report.statistics(report.physical(log(s, d).withColumn("key", F.col("user_id")), F.col("user_id") % 4)),
+        "SELECT CAST(count(*) AS BIGINT) AS entries, CAST(count(DISTINCT user_id) AS BIGINT) AS keys, max(lsn) AS max_lsn, max(lsn) FILTER (WHERE durable) AS data_lsn, count(*) FILTER (WHERE NOT durable) AS tail FROM ({log}) l",
+    ),
+    "asof_token": (
+        lambda s, d: _cols(changelog.as_of_token(log(s, d).withColumn("shard", F.col("user_id") % 4), ["user_id"], table(s, d, "events").groupBy((F.col("user_id") % 4).alias("shard")).agg((F.max("event_id") / 2).cast("long").alias("lsn_at")))),
+        "SELECT user_id, value, lsn FROM (SELECT l.*, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS rn FROM ({log}) l JOIN (SELECT user_id % 4 AS shard, max(event_id) // 2 AS lsn_at FROM {events} GROUP BY 1) k ON l.user_id % 4 = k.shard WHERE lsn <= lsn_at) t WHERE rn = 1 AND NOT deleted",
+    ),
     "contract_verdicts": (
         _contract,
         "WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS rn FROM ({log}) l WHERE lsn <= 5000), e AS (SELECT * FROM p WHERE rn = 1 AND NOT deleted), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY lsn DESC) AS rn FROM ({log}) l), n AS (SELECT * FROM q WHERE rn = 1 AND NOT deleted) SELECT * FROM (SELECT CAST(coalesce(e.user_id, n.user_id) AS VARCHAR) AS key, CASE WHEN e.user_id IS NULL THEN 'unexpected' WHEN NOT e.durable THEN 'pending_uncommitted' WHEN n.lsn IS NULL OR n.lsn <> e.lsn THEN 'missing' END AS verdict FROM e FULL OUTER JOIN n ON e.user_id = n.user_id) v WHERE verdict IS NOT NULL",
@@ -278,10 +304,10 @@ def _merkle_oracle() -> str:
 
 def queries() -> dict[str, Query]:
     plain = {n: (lambda s, d, t=t if isinstance(t, str) else t[0]: sql(s, d, t)) for n, t in SQL.items()}
-    return plain | {n: f for n, (f, _) in COMPAT.items()}
+    return plain | {n: f for n, (f, _) in (COMPAT | sessions.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    texts = {n: t if isinstance(t, str) else t[1] for n, t in SQL.items()} | {n: t for n, (_, t) in COMPAT.items()} | {"merkle_batch_root": _merkle_oracle()}
+    texts = {n: t if isinstance(t, str) else t[1] for n, t in SQL.items()} | {n: t for n, (_, t) in (COMPAT | sessions.QUERIES).items()} | {"merkle_batch_root": _merkle_oracle()}
     plain = lambda t: re.sub(r"\{(\w+)\}", r"\1", t.replace("{log}", LOG)).replace("0.0D", "0.0::DOUBLE").replace("20.0D", "20.0::DOUBLE")
     return {n: plain(t) for n, t in texts.items()}

@@ -1 +1 @@
-"""Streams over operation logs (an extension)."""
+"""Streams of changes into tables of sessions."""
