@@ -32,7 +32,7 @@ I = np.int64
 #: RECENT: steps whose ids a context's followers are taken from.
 LEARN = sorted({1, 2, 3, 4, 6, 8, 12, 24, *range(16, STEPS, 16)})
 COUNT = {1, 2, 4, 8, 16, 32, 64, 96, 128, 160, 192, 224}
-PACE, RECENT = 2, 8
+PACE, RECENT = 4, 4
 #: Packed fields: the level has 8 bits, names of ids (below 2^22) 24 each, counts 16 (a block has fewer steps).
 FIRST, SECOND, NAME, COUNTS = 8, 32, (1 << 24) - 1, (1 << 16) - 1
 
@@ -110,7 +110,8 @@ class Model:
         n = self.events.sum(axis=1, keepdims=True)
         w = np.where(self.there, np.maximum(1, self.events[:, :4] * ((1 << WEIGHT) - 5) // n), 0)
         upto = np.cumsum(w, axis=1)
-        self.bounds = [np.ascontiguousarray(upto[:, j]) << self.order0 for j in range(4)]
+        # the event that each share of the range means
+        self.event_of = (upto[:, :, None] <= np.arange(1 << WEIGHT)).sum(axis=1, dtype=np.int8).ravel()
         self.begin = np.concatenate([np.zeros((len(w), 1), I), upto], 1).ravel() << self.order0
         self.width = np.concatenate([w << self.order0, (1 << WEIGHT) - upto[:, 3:]], 1).ravel()
 
@@ -241,9 +242,7 @@ def decode_block(data: memoryview, start: int = 0) -> tuple[np.ndarray, int]:
             r = span >> model.total
             # exact: the quotient's fraction is a multiple of 1 / r, far above the rounding of a double
             v = np.minimum((code / r).astype(I), (1 << model.total) - 1)
-            event = np.zeros(lanes, I)
-            for bound in model.bounds:
-                event += v >= bound.take(k)
+            event = model.event_of.take((k << WEIGHT) + (v >> model.order0)).astype(I)
             plain = event == 4
             class_ = k * 5 + event
             begin, w = model.begin.take(class_), model.width.take(class_)

@@ -45,9 +45,9 @@ MAGIC = b"SLTK"
 #: Bytes of text that a task is dealt, ids of a file, and files that a task may begin.
 TASK_BYTES, FILE_IDS, TASK_FILES = 16 << 20, 4 * BLOCK, 1 << 20
 #: Bytes of text that are encoded at once, words after which the store is emptied, and letters that a normaliser has to leave as they are.
-PART, KEPT, LETTERS = 4 << 20, 800_000, "abcdefghijklmnopqrstuvwxyz a z"
+PART, KEPT, LETTERS = 2 << 20, 700_000, "abcdefghijklmnopqrstuvwxyz a z"
 #: Words that are looked up at once; slots of the table, more than twice those and ``KEPT``.
-WORDS, SLOTS, SHIFT = 1 << 20, 1 << 22, U(64 - 22)
+WORDS, SLOTS, SHIFT = 1 << 18, 1 << 21, U(64 - 21)
 #: Marks that may end a word without being part of its letters.
 ENDS = b".,;:!?"
 
