@@ -94,11 +94,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows up to which a table that is keyed by groups may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows up to which a table that is keyed by groups may be broadcast, and bytes of its columns; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 10 << 20
+
+
+def row_bytes(groups: DataFrame) -> int:
+    """About the bytes of a row; texts and lists count as so many that no more than ``BROADCAST_ROWS`` rows fit."""
+    wide = BROADCAST_BYTES // BROADCAST_ROWS
+    return sum({"bigint": 8, "double": 8, "int": 4, "boolean": 4}.get(f.dataType.simpleString(), wide) for f in groups.schema)
 
 
 def join_groups(left: DataFrame, groups: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join a written table of groups: by broadcast if its counted rows allow it, else by shuffle."""
-    small = groups.count() <= BROADCAST_ROWS
+    small = groups.count() * row_bytes(groups) <= BROADCAST_BYTES
     return left.join(F.broadcast(groups) if small else groups, keys, how)

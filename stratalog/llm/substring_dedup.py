@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, drop_saved, join_groups, saved
+from .common import BROADCAST_BYTES, drop_saved, join_groups, saved
 from .hashing import FACTORS, U, binaries, distinct, gram_keys, lists, mixed, set_keys, shingle_sets, slices, word_hashes
 from .linking import linked
 
@@ -203,9 +203,9 @@ def runs(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     edges = saved(marked.groupBy("key").agg(F.max("begins").alias("b"), F.max("ends").alias("e")).where("b or e"), "edges")
     at = lambda c: F.collect_set(F.when(F.col(c), F.col("pos")))
     zones = saved(join_groups(marked, edges, ["key"], "inner").groupBy("doc_id", "tid").agg(at("b").alias("before"), at("e").alias("after")), "zones")
-    n_places = zones.agg(F.sum(F.size("before") + F.size("after"))).first()[0] or 0
+    n_bytes = zones.agg(F.sum(32 + 4 * (F.size("before") + F.size("after")))).first()[0] or 0
     texts = join_groups(texts_of(docs, text), zones.select("doc_id", "tid"), ["doc_id", "tid"], "left_semi")
-    dense = all_grams(texts.join(F.broadcast(zones) if n_places <= BROADCAST_ROWS else zones, ["doc_id", "tid"]))
+    dense = all_grams(texts.join(F.broadcast(zones) if n_bytes <= BROADCAST_BYTES else zones, ["doc_id", "tid"]))
     every = saved(marked.select("doc_id", "tid", "pos", "key").unionAll(dense), "grams")
     drop_saved(marked, edges, zones)
     held = join_groups(every, saved(shared(every, "key"), "gram-keys"), ["key"], "inner")
