@@ -193,12 +193,17 @@ def _placed(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("doc_id", F.lit(kind).alias("kind"), F.col("place").cast("long").alias("place"), F.col("n_words").cast("long").alias("n_words"), "cluster", "kept_doc_id", removed)
 
 
-def runs(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, place, n_words, cluster, kept_doc_id): whole runs of words that several documents hold, from seeds (doc_id, tid, pos, key)."""
-    hits = join_groups(found, saved(shared(found, "key").select("key"), "seed-keys"), ["key"], "inner")
+def runs(docs: DataFrame, found: DataFrame, text: str = "text", spent: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """(doc_id, place, n_words, cluster, kept_doc_id): whole runs of words that several documents hold, from seeds (doc_id, tid, pos, key).
+
+    The written tables ``spent`` are deleted once the seeds have been read.
+    """
+    keys = saved(shared(found, "key").select("key"), "seed-keys")
+    hits = join_groups(found, keys, ["key"], "inner")
     in_text = Window.partitionBy("doc_id", "tid").orderBy("pos")
     gap = lambda x: F.coalesce(x > GRAM, F.lit(True))
     marked = saved(hits.select("doc_id", "tid", "pos", "key", gap(F.col("pos") - F.lag("pos").over(in_text)).alias("begins"), gap(F.lead("pos").over(in_text) - F.col("pos")).alias("ends")), "seed-hits")
+    drop_saved(keys, *spent)
     # an end of one occurrence: the grams there are needed of all occurrences
     edges = saved(marked.groupBy("key").agg(F.max("begins").alias("b"), F.max("ends").alias("e")).where("b or e"), "edges")
     at = lambda c: F.collect_set(F.when(F.col(c), F.col("pos")))
@@ -229,8 +234,9 @@ def paragraphs(docs: DataFrame, texts: DataFrame, text: str = "text") -> DataFra
     labels = linked(classes.select("uid", "n", F.array(*BAND_COLUMNS).alias("buckets")), sets_of, PERCENT)
     rows = join_groups(texts.select("doc_id", F.inline("lines")), labels.withColumnRenamed("node", "uid"), ["uid"])
     rows = rows.select("doc_id", "place", "n_words", F.coalesce("component", "uid").alias("cluster"))
-    out = join_groups(rows, saved(shared(rows, "cluster"), "clusters"), ["cluster"], "inner")
-    drop_saved(classes)
+    clusters = saved(shared(rows, "cluster"), "clusters")
+    out = saved(join_groups(rows, clusters, ["cluster"], "inner").distinct(), "lines")
+    drop_saved(classes, labels, clusters)
     return out
 
 
@@ -245,5 +251,5 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     texts = join_groups(every, copies.where("row <> one").select("row"), ["row"], "left_anti")
     whole = copies.where((F.col("n_words") >= GRAM) & (F.col("kept_doc_id") < F.col("last"))).select("doc_id", F.lit(0).alias("place"), "n_words", F.col("same").alias("cluster"), "kept_doc_id").distinct()
     lines = paragraphs(docs, texts, text)
-    spans = runs(docs, texts.select("doc_id", "tid", F.inline("seeds")), text)
-    return _placed(whole, "text").unionAll(_placed(lines.distinct(), "line")).unionAll(_placed(spans, "run"))
+    spans = runs(docs, texts.select("doc_id", "tid", F.inline("seeds")), text, (every,))
+    return _placed(whole, "text").unionAll(_placed(lines, "line")).unionAll(_placed(spans, "run"))
