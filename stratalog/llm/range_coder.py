@@ -77,10 +77,10 @@ class Followers:
 
 
 class Model:
-    """Counts, predictions and weights; ``size`` is one more than the largest id."""
+    """Counts, predictions and weights; ``size`` is one more than the largest id.  Only a decoder looks shares of the range up."""
 
-    def __init__(self, size: int) -> None:
-        self.size = size
+    def __init__(self, size: int, decodes: bool) -> None:
+        self.size, self.decodes = size, decodes
         #: Bits of the order-0 distribution: every id has a part of it.
         self.order0 = max(20, size.bit_length() + 1)
         self.total = self.order0 + WEIGHT
@@ -103,17 +103,19 @@ class Model:
         f[int(self.counts.argmax())] += (1 << self.order0) - int(f.sum())
         # where each id's part begins, and its width; the last entry stands for an id that a prediction has hit
         self.part = np.append((np.cumsum(f) - f) << 32 | f, 1)
-        self.symbol = np.repeat(np.arange(self.size, dtype=np.int32), f)
+        if self.decodes:
+            self.symbol = np.repeat(np.arange(self.size, dtype=np.int32), f)
 
     def weigh(self) -> None:
         """Where each event of a class begins, and its width; that of the last one is to be multiplied by a part of order 0."""
         n = self.events.sum(axis=1, keepdims=True)
         w = np.where(self.there, np.maximum(1, self.events[:, :4] * ((1 << WEIGHT) - 5) // n), 0)
         upto = np.cumsum(w, axis=1)
-        # the event that each share of the range means
-        self.event_of = (upto[:, :, None] <= np.arange(1 << WEIGHT)).sum(axis=1, dtype=np.int8).ravel()
+        left = (1 << WEIGHT) - upto[:, 3:]
+        if self.decodes:  # the event that each share of the range means
+            self.event_of = np.repeat(np.tile(np.arange(5, dtype=np.int8), len(w)), np.concatenate([w, left], 1).ravel())
         self.begin = np.concatenate([np.zeros((len(w), 1), I), upto], 1).ravel() << self.order0
-        self.width = np.concatenate([w << self.order0, (1 << WEIGHT) - upto[:, 3:]], 1).ravel()
+        self.width = np.concatenate([w << self.order0, left], 1).ravel()
 
     def look(self, a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """The four predictions (-1: none) and the class, for the ids two before and one before."""
@@ -173,7 +175,7 @@ def encode_block(ids: np.ndarray) -> bytes:
         names, x[:n] = np.unique(ids, return_inverse=True)
         size = len(names)
     x = np.ascontiguousarray(x.reshape(lanes, steps).T)
-    model = Model(size)
+    model = Model(size, False)
     out = np.zeros((2 * steps + 8, lanes), I)
     at, low, span = np.zeros(lanes, I), np.zeros(lanes, I), np.full(lanes, 1 << (LOW + DIGIT), I)
     rest, none = (1 << LOW) - 1, np.full(lanes, size, I)
@@ -232,7 +234,7 @@ def decode_block(data: memoryview, start: int = 0) -> tuple[np.ndarray, int]:
     at = np.cumsum(counts) - counts
     code = digits[at] << 32 | digits[at + 1] << 16 | digits[at + 2]
     at += 3
-    model, x, span = Model(size), np.zeros((steps, lanes), I), np.full(lanes, 1 << (LOW + DIGIT), I)
+    model, x, span = Model(size, True), np.zeros((steps, lanes), I), np.full(lanes, 1 << (LOW + DIGIT), I)
     a, b = np.full(lanes, size, I), np.full(lanes, size, I)
     for t0, t1 in _spans(steps):
         for t in range(t0, t1):

@@ -48,8 +48,16 @@ TASK_BYTES, FILE_IDS, TASK_FILES = 16 << 20, 4 * BLOCK, 1 << 20
 PART, KEPT, LETTERS = 2 << 20, 700_000, "abcdefghijklmnopqrstuvwxyz a z"
 #: Words that are looked up at once; slots of the table, more than twice those and ``KEPT``.
 WORDS, SLOTS, SHIFT = 1 << 18, 1 << 21, U(64 - 21)
-#: Marks that may end a word without being part of its letters.
-ENDS = b".,;:!?"
+#: Marks that may end a word without being part of its letters, and how many of them are looked at in whole arrays.
+ENDS, MARKS = b".,;:!?", 8
+#: A number for each byte that is such a mark (0: none), which bytes are ASCII letters, and A-Z in lower case.
+MARK = np.zeros(256, np.int64)
+MARK[list(ENDS)] = np.arange(1, len(ENDS) + 1)
+LETTER, LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+LOWER[65:91] += 32
+#: Stems that are encoded as one text.
+TOGETHER = 64
 
 
 def default_tokenizer() -> str:
@@ -113,7 +121,8 @@ class Encoder:
 
     A word's ids are those of its stem, then those of the marks at its end.  New stems of letters alone are
     encoded many at a time: each of them ends with an id that only ends words, if the vocabulary has
-    such ids.  A copy of the tokenizer without its normaliser does so for lower-case ASCII letters, if that leaves them alone.
+    such ids.  Those of ASCII letters have a table of their own and don't become Python objects one by one; a copy of the
+    tokenizer without its normaliser encodes them, if that does no more to them than put them in lower case.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -126,12 +135,14 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for x, i in self.tokenizer.get_vocab().items() if suffix and x.endswith(suffix) and i < len(self.ends)]] = True
         normal = self.tokenizer.normalizer
-        same = normal is not None and normal.normalize_str(LETTERS) == LETTERS
+        upper = normal.normalize_str(LETTERS.upper()) if normal else LETTERS.upper()
+        self.case = LOWER if upper == LETTERS else np.arange(256, dtype=np.uint8)
+        same = normal is not None and normal.normalize_str(LETTERS) == LETTERS and upper in (LETTERS, LETTERS.upper())
         self.plain = Tokenizer.from_str(json.dumps(given | {"normalizer": None})) if same else self.tokenizer
         self.empty()
 
     def empty(self) -> None:
-        self.table, self.stems = Numbers(), {}
+        self.table, self.letters, self.stems = Numbers(), Numbers(), {}
         self.ids, self.places = Growing(np.uint32), Growing(np.int64)
         self.places.add(np.zeros(1, np.int64))
 
@@ -148,26 +159,23 @@ class Encoder:
         sizes = self.places.data.take(numbers + 1) - starts
         return self.ids.data.take(_joined(starts, sizes)), sizes
 
-    def encoded(self, stems: list[bytes], tokenizer: Any = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of stems, one after the other, and how many each has; with a tokenizer, stems of letters alone."""
-        texts = [x.decode() for x in stems]
-        if tokenizer and self.ends.any():
-            many = tokenizer.encode_batch_fast([" ".join(texts[i : i + 64]) for i in range(0, len(texts), 64)], add_special_tokens=False)
+    def encoded(self, stems: list[str], joined: list[str] | None = None, tokenizer: Any = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stems, one after the other, and how many each has; ``joined``: stems of letters alone, some to a text."""
+        if joined and self.ends.any():
+            many = tokenizer.encode_batch_fast(joined, add_special_tokens=False)
             ids = np.fromiter(chain.from_iterable(e.ids for e in many), np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(stems):
                 return ids, np.diff(last, prepend=-1)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The numbers of new words."""
-        stems, lower, letters, rest, parts = self.stems, {}, {}, {}, []
+    def others(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of the stem and of the marks at the end (-1: none) of new words that aren't ASCII letters and marks."""
+        stems, letters, rest, parts = self.stems, {}, {}, []
         for word in words:
             stem = word.rstrip(ENDS)
-            if stem.isalpha():  # of ASCII letters alone
-                kind, stem, end = lower, stem.lower(), word[len(stem) :]
-            elif not stem.isascii() and (text := stem.decode()).isalpha() and text[-1].lower()[-1].isalpha():
+            if not stem.isascii() and (text := stem.decode()).isalpha() and text[-1].lower()[-1].isalpha():
                 kind, end = letters, word[len(stem) :]
             elif not stem or not stem[-1:].isalnum() or b"<|" in word:  # the marks might not be encoded apart
                 kind, stem, end = rest, word, b""
@@ -178,11 +186,61 @@ class Encoder:
             if end and end not in stems:
                 rest[end] = None
             parts += (stem, end)
-        for found, tokenizer in ((lower, self.plain), (letters, self.tokenizer), (rest, None)):
+        for found, alone in ((letters, True), (rest, False)):
             if found:
-                first = self._add(*self.encoded(list(found), tokenizer))
+                texts = [x.decode() for x in found]
+                joined = [" ".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)] if alone else None
+                first = self._add(*self.encoded(texts, joined, self.tokenizer))
                 stems.update(zip(found, range(first, first + len(found)), strict=True))
-        out = np.array([stems[x] if x else -1 for x in parts]).reshape(-1, 2)
+        return np.array([stems[x] if x else -1 for x in parts], np.int64).reshape(-1, 2)
+
+    def lettered(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of stems of ASCII letters."""
+        letters, upto = self.case[data[_joined(starts, sizes)]], np.cumsum(sizes)
+        hashes = span_hashes(letters, upto - sizes, upto, EXACT) | U(1)
+        number = self.letters.get(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            names, at, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at = new[at]
+            size = sizes[at]
+            begins = np.cumsum(size + 1) - (size + 1)
+            text = np.full(int(size.sum()) + len(size), 32, np.uint8)
+            text[_joined(begins, size)] = letters[_joined(upto[at] - size, size)]
+            text = text.tobytes().decode()
+            cuts = [*begins[::TOGETHER].tolist(), len(text)]
+            joined = [text[i : j - 1] for i, j in zip(cuts, cuts[1:], strict=False)]
+            first = self._add(*self.encoded(text.split(), joined, self.plain))
+            found = np.arange(first, first + len(at))
+            self.letters.add(names, found)
+            number[new] = found[which]
+        return number
+
+    def numbers(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of new words, ascending in ``data``."""
+        stops, marks, rest = ends.copy(), np.zeros(len(ends), np.int64), np.arange(len(ends))
+        for _ in range(MARKS):
+            mark = MARK[data[stops[rest] - 1]]
+            rest, mark = rest[mark > 0], mark[mark > 0]
+            marks[rest] = marks[rest] * (len(ENDS) + 1) + mark
+            stops[rest] -= 1
+            rest = rest[stops[rest] > begins[rest]]
+        a, b = int(begins[0]), int(ends[-1])
+        odd = np.concatenate([np.zeros(1, np.int64), np.cumsum(~LETTER[data[a:b]])])
+        plain = (stops > begins) & (odd[stops - a] == odd[begins - a])
+        own, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        out = np.full((len(begins), 2), -1, np.int64)
+        if len(own):
+            out[own, 0] = self.lettered(data, begins[own], (stops - begins)[own])
+            _, at, which = np.unique(marks[own], return_index=True, return_inverse=True)
+            kinds = [data[stops[i] : ends[i]].tobytes() for i in own[at].tolist()]
+            new = [x for x in kinds if x and x not in self.stems]
+            if new:
+                first = self._add(*self.encoded([x.decode() for x in new]))
+                self.stems.update(zip(new, range(first, first + len(new)), strict=True))
+            out[own, 1] = np.array([self.stems[x] if x else -1 for x in kinds], np.int64)[which]
+        if len(rest):
+            out[rest] = self.others([data[i:j].tobytes() for i, j in zip(begins[rest].tolist(), ends[rest].tolist(), strict=True)])
         both = np.flatnonzero(out[:, 1] >= 0)
         ids, sizes = self._of(out[both].ravel())
         first = self._add(ids, sizes.reshape(-1, 2).sum(axis=1))
@@ -198,8 +256,8 @@ class Encoder:
         new = np.flatnonzero(number < 0)
         if len(new):
             names, at, which = np.unique(hashes[new], return_index=True, return_inverse=True)
-            at = new[at]
-            found = self.numbers([data[i:j].tobytes() for i, j in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            order, found = np.argsort(at), np.empty(len(at), np.int64)
+            found[order] = self.numbers(data, begins[new[at[order]]], ends[new[at[order]]])
             self.table.add(names, found)
             number[new] = found[which]
         return self._of(number)
