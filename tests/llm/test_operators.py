@@ -252,9 +252,11 @@ def test_token_files(docs, empty, rows):
     assert token_store.round_trip(empty).count() == 0
 
 
-def test_words_as_whole_texts():
+@pytest.mark.parametrize("kept", [50, 700_000])
+def test_words_as_whole_texts(monkeypatch, kept):
+    monkeypatch.setattr(token_store, "KEPT", kept)
     r = random.Random(5)
-    marks = ["a", "B", "é", "İ", "Σ", "'s", "'LL", "don't", "1", "2.", "...", "<|endoftext|>", "<|ENDOFTEXT|>", "\x01", "́", "🙂", "!?", "中", "ﬁ", " ", "K", "_", " ", "\t", "x,", "\x00", "\"", ";"]
+    marks = ["a", "B", "é", "İ", "Σ", "'s", "'LL", "don't", "1", "2.", "...", "<|endoftext|>", "<|ENDOFTEXT|>", "\x01", "́", "🙂", "!?", "中", "ﬁ", " ", "K", "_", " ", "\t", "x,", "\x00", "\"", ";", "Word" + "." * 8, "WORD" + ".,!" * 5]
     texts = ["".join(r.choice(marks) for _ in range(r.randrange(30))) for _ in range(1500)] + ["", "   ", "a" * 5000]
     encode = token_store.Encoder(token_store.default_tokenizer(), 1)
     parts = [encode(data, bounds) for _, _, data, bounds in hashing.slices(pa.array(texts), 1000)]
