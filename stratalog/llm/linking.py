@@ -26,8 +26,8 @@ from .hashing import U
 
 #: Pairs of a hub that meet in one task, members of a block, and bytes of its sets (about; one set may be larger).
 PART, BLOCK, BLOCK_BYTES = 2048, 2048, 8 << 20
-#: Entries of the expansion of shared shingles that are made at once.
-CHUNK = 1 << 22
+#: Entries of the expansion of shared shingles that are made at once, and pairs of a block that are counted at once.
+CHUNK, PAIRS = 1 << 17, 1 << 16
 
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -62,6 +62,11 @@ def _pairs(elem_l: np.ndarray, own_l: np.ndarray, elem_r: np.ndarray, own_r: np.
     return out.reshape(shape)
 
 
+def _strip(n: int) -> int:
+    """Left members that are compared with n right ones at once."""
+    return max(1, PAIRS // max(1, n))
+
+
 def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """For sets numbered by left and by right, whether 100 * intersection >= percent * union."""
     sizes = np.array([len(s) for s in sets])
@@ -78,36 +83,40 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
     missing = np.argwhere(~have)
     other = ~of_common & (count[elem] > 1)
     parts = [(missing[:, 0], missing[:, 1]), (elem[other], owner[other])]
-    position = lambda side: np.full(len(sets), -1)
-    in_left, in_right = position(left), position(right)
+    # rows of (element, owner) by element, those of the left side and those of the right
+    in_left, in_right = np.full(len(sets), -1), np.full(len(sets), -1)
     in_left[left], in_right[right] = np.arange(len(left)), np.arange(len(right))
-    both = np.full((len(left), len(right)), len(common), np.int32)
-    both -= lacks[left].astype(np.int32)[:, None] + lacks[right].astype(np.int32)[None, :]
+    sides = []
     for e, o in parts:
         order = np.argsort(e, kind="stable")
         e, o = e[order], o[order]
         a, b = in_left[o] >= 0, in_right[o] >= 0
-        both += _pairs(e[a], in_left[o[a]], e[b], in_right[o[b]], both.shape)
-    need = percent * (sizes[left][:, None] + sizes[right][None, :])
-    return (100 + percent) * both.astype(np.int64) >= need
+        sides.append((e[a], in_left[o[a]], e[b], in_right[o[b]]))
+    met, step = np.empty((len(left), len(right)), bool), _strip(len(right))
+    for i in range(0, len(left), step):
+        rows = left[i : i + step]
+        both = len(common) - lacks[rows].astype(np.int32)[:, None] - lacks[right].astype(np.int32)[None, :]
+        for elem_l, own_l, elem_r, own_r in sides:
+            mine = (own_l >= i) & (own_l < i + step)
+            both += _pairs(elem_l[mine], own_l[mine] - i, elem_r, own_r, both.shape)
+        met[i : i + step] = (100 + percent) * both.astype(np.int64) >= percent * (sizes[rows][:, None] + sizes[right][None, :])
+    return met
 
 
 def _joined(component: np.ndarray, met: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     """Edges that join the components that meet: from each one to the least it can reach."""
     names, number = np.unique(component, return_inverse=True)
-    a, b = np.nonzero(met)
-    a, b = number[left[a]], number[right[b]]
-    code = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b))
-    a, b = code // len(names), code % len(names)
-    root = np.arange(len(names))
-    while True:
-        least = root.copy()
-        np.minimum.at(least, a, root[b])
-        np.minimum.at(least, b, root[a])
-        least = least[least]
-        if (least == root).all():
-            return [(int(names[i]), int(names[r])) for i, r in enumerate(root) if i != r]
-        root = least
+    root, step = np.arange(len(names)), _strip(len(right))
+    for i in range(0, len(left), step):
+        a, b = np.nonzero(met[i : i + step])
+        a, b = root[number[left[a + i]]], root[number[right[b]]]
+        while (a != b).any():
+            a, b = a[a != b], b[a != b]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))  # both are roots, so there is no circle
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = root[a], root[b]
+    return [(int(names[i]), int(names[r])) for i, r in enumerate(root) if i != r]
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

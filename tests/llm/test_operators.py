@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat, common, decontam, hashing, mixing, quality, range_coder, secrets, setsketch, sharding, substring_dedup, token_store, warc
+from stratalog.llm import chat, common, decontam, hashing, linking, mixing, quality, range_coder, secrets, setsketch, sharding, substring_dedup, token_store, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int"
 WORDS = [a + b for a in "bcdfglmnprst" for b in ("an", "el", "ion", "ost", "ure", "ay")]
@@ -306,3 +307,30 @@ def test_chat(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in own).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert chat.round_trip(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("common", [True, False])
+def test_blocks_of_sets_are_compared_in_little_memory(common):
+    r, n = np.random.default_rng(3), 1500
+    base = r.integers(0, 1 << 63, 60, np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(60) < (0.93 if common else 0.4)], r.integers(0, 1 << 63, 4, np.uint64)])) for _ in range(2 * n)]
+    left, right, component = np.arange(n), np.arange(n, 2 * n), np.arange(2 * n) * 7
+    tracemalloc.start()
+    met = linking.similar(sets, left, right, 75)
+    edges = linking._joined(component, met, left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    for i, j in r.integers(0, n, (3000, 2)):
+        both = len(np.intersect1d(sets[i], sets[n + j]))
+        assert met[i, j] == (100 * both >= 75 * (len(sets[i]) + len(sets[n + j]) - both))
+    least = np.arange(2 * n)  # by spreading the least number along links until nothing changes
+    a, b = np.nonzero(met)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[n + b])
+        np.minimum.at(new, n + b, least[a])
+        if (new == least).all():
+            break
+        least = new
+    assert sorted(edges) == [(7 * i, 7 * int(x)) for i, x in enumerate(least) if i != x]
